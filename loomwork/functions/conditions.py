@@ -4,6 +4,7 @@ A whitelist of syntax is translated: and, or, not, &, |, ~, comparisons (also
 chained), in and not in with lists, arithmetic, names, `names with blanks` in
 backticks, constants. Everything else is an error, raised before any data is
 read. Missing values compare as they do in a data frame: != and `not in` hold.
+Division by zero gives a missing value.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ _ARITHMETIC = {
     ast.Add: operator.add,
     ast.Sub: operator.sub,
     ast.Mult: operator.mul,
-    ast.Div: operator.truediv,
-    ast.Mod: lambda a, b: F.pmod(a, b),
+    ast.Div: lambda a, b: F.try_divide(a, b),
+    ast.Mod: lambda a, b: F.pmod(a, F.nullif(b, F.lit(0))),
     ast.Pow: lambda a, b: F.pow(a, b),
-    ast.FloorDiv: lambda a, b: F.floor(a / b),
+    ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a, b)),
 }
 
 
@@ -46,9 +47,10 @@ def condition(text: str, columns: list[str]) -> Column:
         return key
 
     source = re.sub(r"`([^`]+)`", name, text)
-    # & and | bind tighter than comparisons in Python, but not in a query string
-    source = re.sub(r"&", " and ", re.sub(r"(?<![|])\|(?![|])", " or ", source)) if not re.search(r"['\"][^'\"]*[&|][^'\"]*['\"]", source) else source
-    source = re.sub(r"~", " not ", source)
+    # & and | bind tighter than comparisons in Python, but not in a query string; quoted text stays as it is
+    parts = re.split(r"""('[^']*'|"[^"]*")""", source)
+    parts[::2] = [p.replace("&", " and ").replace("|", " or ").replace("~", " not ") for p in parts[::2]]
+    source = "".join(parts)
     try:
         tree = ast.parse(source.strip(), mode="eval").body
     except SyntaxError as e:

@@ -14,11 +14,12 @@ from ..errors import ConfigError
 
 # what str.strip() takes off; Java's \s alone is ASCII
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(c: Column) -> Column:
     """Text without white space, in the Unicode sense, at its ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def filled(pieces: Column) -> Column:

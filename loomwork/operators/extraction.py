@@ -17,14 +17,19 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import ConfigError
 from ..spec import NestedSpec, SimpleSpec, Spec
 
 
+def _caster(kind: T.DataType) -> Callable[[Column], Column]:
+    return lambda x: x.try_cast(kind)
+
+
 @dataclass(frozen=True)
 class Rules:
-    """Answers from patterns, in native expressions: name -> pattern, whose first group is the value. List variables take all matches, others the first; `integer` and `number` are cast.
+    """Answers from patterns, in native expressions: name -> pattern, whose first group is the value. List variables take all matches, others the first; `integer` and `number` are cast, null where that fails.
 
     Of a nested spec each match of `item` is an item, in which the patterns are looked for.
     """
@@ -44,12 +49,12 @@ class Rules:
         for v in variables:
             p = self.patterns.get(v.name)
             if p is None:
-                c = F.lit(None)
+                c = F.lit(None).cast(v.spark_type)
             elif v.is_list:
-                c = F.regexp_extract_all(text, F.lit(p), F.lit(1))
+                c = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), _caster(v.spark_type.elementType))
             else:
-                c = F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-            fields.append(c.cast(v.spark_type).alias(v.name))
+                c = F.nullif(F.regexp_extract(text, p, 1), F.lit("")).try_cast(v.spark_type)
+            fields.append(c.alias(v.name))
         return F.struct(*fields)
 
 
