@@ -189,7 +189,7 @@ class HashTable:
 
     def __init__(self, keys: np.ndarray):
         self.n = len(keys)
-        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length() + 1)
+        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.keys = np.zeros(1 << self.bits, dtype=U64)
         self.rows = np.full(1 << self.bits, -1, dtype=np.int32)
         rows, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
