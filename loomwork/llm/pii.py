@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import Scratch
+from .store import Scratch, unused
 
 TURNS, SUPPORT, ACCEPT, MAX_BROADCAST_PATTERNS = 3, 3, 0.8, 500_000
 
@@ -271,7 +271,7 @@ def redact(docs: DataFrame, scratch: Scratch, accept: float = ACCEPT) -> DataFra
     at = names.index("text")
     if confident.count() > MAX_BROADCAST_PATTERNS:
         spans = _spans(found, confident, accept).groupBy("key").agg(F.collect_set(F.struct("start", "end", "kind")).alias("_spans"))
-        joined = docs.join(spans, F.xxhash64(docs["text"]) == spans["key"], "left").drop("key")
+        joined = docs.join(spans, F.xxhash64(docs["text"]) == spans["key"], "left").select(*[docs[c] for c in names], spans["_spans"].alias(unused("_spans", names)))
 
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -75,5 +75,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
+def unused(name: str, names: list[str]) -> str:
+    """The name, with underscores added until no column has it."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

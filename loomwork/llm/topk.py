@@ -19,7 +19,8 @@ the end; nothing is broadcast. The score is the cosine.
 
 Defined results for odd input: rows with a null id, a null vector, null or
 non-finite elements, no length, or another dimension than the most common one
-are neither queries nor found; rows of one id don't find each other; ties in
+are neither queries nor found; of rows that repeat an id the least vector
+counts; ties in
 the score (rounded to 6 digits) go to the lesser id; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -106,13 +107,15 @@ def blocks(vectors: DataFrame, dim: int, key: str, vector: str, size: int = BLOC
                     names=["n", "ids", "x"],
                 )
 
-    return (
+    rows = (
         vectors.select(F.col(key).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v"))
         .where(F.col("i").isNotNull() & F.col("v").isNotNull())
         .where(F.size("v") == dim)
-        .where(~F.exists("v", lambda e: e.isNull()))
-        .mapInArrow(run, "n int, ids binary, x binary")
+        .where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0))
     )
+    if not rows.groupBy("i").count().where("count > 1").isEmpty():  # vectors are shuffled only where an id is repeated
+        rows = rows.groupBy("i").agg(F.min("v").alias("v"))
+    return rows.mapInArrow(run, "n int, ids binary, x binary")
 
 
 def top_k(vectors: DataFrame, scratch: Scratch, k: int = TOP, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

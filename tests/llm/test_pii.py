@@ -1,0 +1,115 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from loomwork.llm import pii
+from loomwork.llm.store import Scratch
+
+from .common import awkward, docs, nothing, words
+
+
+def card(rng: random.Random, right: bool) -> str:
+    while True:
+        d = "".join(str(rng.randrange(10)) for _ in range(16))
+        if pii.luhn(d) == right and d[0] == "4":
+            return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(9)
+    rows, planted, plain = [], {}, []
+    w = lambda n: " ".join(words(rng, n))
+    for i in range(300):
+        k = i % 10
+        if k == 0:
+            v = f"{words(rng, 1)[0]}.{words(rng, 1)[0]}@mail{rng.randrange(9)}.example.org"
+            rows.append((i, f"{w(30)} {v}, {w(5)}"))
+        elif k == 1:
+            v = f"+{rng.randrange(1, 99)} 555 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}"
+            rows.append((i, f"{w(20)} call {v} now {w(9)}"))
+        elif k == 2:
+            v = ".".join(str(rng.randrange(256)) for _ in range(4))
+            rows.append((i, f"{w(20)} from {v}. {w(9)}"))
+        elif k == 3:
+            v = card(rng, True)
+            rows.append((i, f"{w(20)} paid with card {v} today {w(9)}"))
+        elif k == 4:  # no rule knows these
+            v = card(rng, False)
+            rows.append((i, f"{w(20)} paid with card {v} today {w(9)}"))
+        elif k == 5:
+            v = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+            rows.append((i, f"{w(20)} key {v} {w(9)}"))
+        else:
+            rows.append((i, f"{w(20)} in {rng.randrange(1900, 2030)} there were {rng.randrange(1, 99)} of 12,5 {w(9)}"))
+            plain.append(i)
+            continue
+        planted[i] = v
+    return rows, planted, plain
+
+
+def test_finds_seeds_and_unseen_identifiers(spark, corpus):
+    rows, planted, plain = corpus
+    out = pii.find(docs(spark, rows), Scratch(spark, "t")).collect()
+    text = {i: t.encode() for i, t in rows}
+    assert all(text[r.doc_id][r.start : r.end].decode() == r.value for r in out)
+    found = {(r.doc_id, r.value) for r in out}
+    by = lambda k: [(i, v) for i, v in planted.items() if i % 10 == k]
+    for k in range(6):
+        assert sum(x in found for x in by(k)) >= 0.9 * len(by(k)), k
+    assert not [r for r in out if r.doc_id in plain]
+    assert {r.kind for r in out if r.doc_id % 10 == 4} == {"CARD"}
+
+
+def test_without_bootstrapping_the_unseen_are_missed(corpus):
+    rows, planted, _ = corpus
+    assert all(pii.seed(v, "with card") is None for i, v in planted.items() if i % 10 == 4)
+
+
+def test_redaction(spark, corpus):
+    rows, planted, plain = corpus
+    df = docs(spark, rows)
+    out = {r.doc_id: r.text for r in pii.redact(df, Scratch(spark, "t")).collect()}
+    assert sum(v not in out[i] for i, v in planted.items()) >= 0.95 * len(planted)
+    by = dict(rows)
+    assert all(out[i] == by[i] for i in plain)
+    assert "[EMAIL], " in out[0] and " [CARD] today" in out[3] and " [CARD] today" in out[4]
+
+
+def test_join_gives_what_broadcast_gives(spark, corpus, monkeypatch):
+    df = docs(spark, corpus[0])
+    a = pii.redact(df, Scratch(spark, "t")).collect()
+    monkeypatch.setattr(pii, "MAX_BROADCAST_PATTERNS", -1)
+    assert sorted(a) == sorted(pii.redact(df, Scratch(spark, "t")).collect())
+
+
+def test_seeds():
+    assert pii.seed("a.b@c.org", "") == "EMAIL" and pii.seed("1.2.3.4", "") == "IP" and pii.seed("1.2.3.999", "") != "IP"
+    assert pii.seed("4111 1111 1111 1111", "") == "CARD" and pii.seed("4111 1111 1111 1112", "") is None
+    assert pii.seed("2024", "") == "NONE" and pii.seed("password=hunter2x", "") == "SECRET"
+
+
+def test_confidence_is_by_mass(spark):
+    """A pattern that counter-examples share isn't confident."""
+    rows = [(f"v{i}", "CARD" if i < 5 else "NONE", ["form x"]) for i in range(10)] + [(f"u{i}", "CARD", ["form y"]) for i in range(9)]
+    found = spark.createDataFrame([(0, 0, 0, 1, v, k, p) for v, k, p in rows], pii._SCHEMA)
+    got = {r.pattern: r for r in pii.bootstrap(found, Scratch(spark, "t")).collect()}
+    assert list(got) == ["form y"] and got["form y"].confidence == pytest.approx(9 / 9.5)
+
+
+def test_awkward_rows(spark, monkeypatch):
+    df = awkward(spark)
+    out = pii.find(df, Scratch(spark, "t")).collect()
+    assert [(r.doc_id, r.kind, r.value) for r in out] == [(13, "EMAIL", "me@x.org")] * 2
+    red = pii.redact(df, Scratch(spark, "t"))
+    assert red.columns == df.columns and red.count() == df.count()
+    monkeypatch.setattr(pii, "MAX_BROADCAST_PATTERNS", -1)
+    key = lambda rows: sorted(map(repr, rows))
+    joined = pii.redact(df, Scratch(spark, "t"))
+    assert joined.columns == df.columns and key(joined.collect()) == key(red.collect())
+
+
+def test_empty_table(spark):
+    assert pii.find(nothing(spark), Scratch(spark, "t")).count() == 0
+    assert pii.redact(nothing(spark), Scratch(spark, "t")).count() == 0
