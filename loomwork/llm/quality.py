@@ -1,7 +1,8 @@
 """Quality classifier: gated-attention multiple-instance learning.
 
 A document is a bag of passages of PASSAGE tokens. Every passage is encoded
-(the embeddings of its words that are in the vocabulary, and shape features),
+(the embeddings of its words and of their beginnings of STEMS bytes, those that
+are in the vocabulary, and shape features),
 gated attention weighs the passages, and a linear head scores the weighted
 passage representation. There are two heads over one encoder, each with an
 attention of its own: quality and toxicity. Only document labels are used, so
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 PASSAGE, DIM, GATE, SAMPLE_ROWS, MIN_DOCS, EPOCHS = 32, 16, 8, 5000, 6, 8
-N_SHAPES = 8
+N_SHAPES, STEMS = 8, (4, 6)
+RATE, START, DECAY, DROP = 0.04, 0.01, 1e-3, 0.5
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.5
 
 _UPPER = np.zeros(256, bool)
@@ -79,9 +81,12 @@ def bags(data: np.ndarray, off: np.ndarray, size: int = PASSAGE) -> Bags:
     # words: letters only, ASCII case folded
     folded = _FOLD[data]
     w = K.tokens(data, off, K.LETTERS)
-    word = K.span_hash(K.prefix_hash(folded), w.start, w.end)
+    sums, size = K.prefix_hash(folded), w.end - w.start
+    # a word, and its beginnings, so that what is known of a stem holds for words that were never seen
+    terms = np.stack([K.span_hash(sums, w.start, w.end), *(K.span_hash(sums, w.start, np.minimum(w.start + n, w.end)) ^ K.U64(n) for n in STEMS)], axis=1)
+    told = np.stack([np.ones(len(size), bool), *(size > n for n in STEMS)], axis=1)
     at = passage[np.minimum(np.searchsorted(t.end, w.start, "right"), len(passage) - 1)]
-    return Bags(word, at, shape, first)
+    return Bags(terms[told], np.repeat(at, told.sum(axis=1)), shape, first)
 
 
 class Model:
@@ -91,7 +96,7 @@ class Model:
         rng = np.random.default_rng(seed)
         self.vocabulary = np.sort(vocabulary)
         g = lambda *s, scale=0.3: (rng.standard_normal(s) * scale).astype(np.float32)
-        self.p = {"E": g(len(vocabulary), DIM, scale=0.05), "S": g(N_SHAPES, DIM), "b": np.zeros(DIM, np.float32)}
+        self.p = {"E": g(len(vocabulary), DIM, scale=START), "S": g(N_SHAPES, DIM), "b": np.zeros(DIM, np.float32)}
         for h in "qt":
             self.p |= {f"V{h}": g(DIM, GATE), f"U{h}": g(DIM, GATE), f"w{h}": g(GATE), f"c{h}": g(DIM), f"d{h}": np.zeros(1, np.float32)}
         self.constant: dict[str, float | None] = {"q": None, "t": None}
@@ -160,12 +165,15 @@ class Model:
             dh += dv @ self.p["V" + head].T + du @ self.p["U" + head].T
         dpre = dh * (1 - h**2)
         g["S"], g["b"] = shape.T @ dpre, dpre.sum(0)
-        np.add.at(g["E"], row, dpre[at])
+        if len(row):
+            order = np.argsort(row, kind="stable")
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(row[order]) > 0]))
+            g["E"][row[order[begins]]] = np.add.reduceat(dpre[at[order]], begins, axis=0)
         return g
 
 
 def fit(texts: pa.Array, quality: np.ndarray, toxic: np.ndarray, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, seed: int = 7) -> Model:
-    """Adam over mini-batches of documents; words in at least min_docs of the distinct texts make the vocabulary."""
+    """Adam over mini-batches of documents, at a falling rate, half of the words dropped each time; words in at least min_docs of the distinct texts make the vocabulary."""
     data, off = K.flat(texts)
     b = bags(data, off)
     n = np.diff(b.first)
@@ -184,23 +192,23 @@ def fit(texts: pa.Array, quality: np.ndarray, toxic: np.ndarray, epochs: int = E
     word_first = np.searchsorted(b.word_at, b.first)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(x) for k, x in model.p.items()}
-    step = 0
+    step, parts = 0, max(1, len(has) // 64)
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(has), max(1, len(has) // 64)):
+        for part in np.array_split(rng.permutation(has), parts):
             span = lambda starts: np.concatenate([np.arange(starts[d], starts[d + 1]) for d in part])  # noqa: E731,B023
             ps, ws = span(b.first), span(word_first)
             first = np.concatenate([[0], np.cumsum(n[part])])
             local = np.full(int(b.first[-1]), -1)
             local[ps] = np.arange(len(ps))
             r, at = row[ws], local[b.word_at[ws]]
-            keep = (r >= 0) & (rng.random(len(r)) > 0.1)
+            keep = (r >= 0) & (rng.random(len(r)) > DROP)
             g = model.gradients(r, at, b.shape[ps], first, {"q": quality[part], "t": toxic[part]}, keep)
             step += 1
             for k, x in model.p.items():
-                grad = g[k] + 1e-5 * x
+                grad = g[k] + (DECAY if k == "E" else 1e-5) * x
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.99 * v[k] + 0.01 * grad**2
-                x -= 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                x -= RATE * (1 - (step - 1) / (parts * epochs)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
     return model
 
 
