@@ -1,4 +1,8 @@
-"""The cache of answers: a Parquet table (key, value, ts, bytes), appended to and compacted."""
+"""The cache of answers: a Parquet table (key, value, ts, bytes), appended to and compacted.
+
+Compaction writes a new generation of the table, and removes the one before
+the last: what was read from the last one can still be computed again.
+"""
 
 from __future__ import annotations
 
@@ -38,32 +42,40 @@ class AnswerCache:
     def __init__(self, spark: SparkSession, path: str, max_mb: int = 512):
         self.spark, self.path, self.max_bytes = spark, path.rstrip("/"), max_mb * 1_000_000
 
-    def _fs(self):  # noqa: ANN202
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _fs(self, *parts: str):  # noqa: ANN202
+        p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def table(self) -> DataFrame:
+    def _generations(self) -> list[int]:
         p, fs = self._fs()
-        if not fs.exists(p):
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[4:]) for n in names if n.startswith("gen-") and n[4:].isdecimal())
+
+    def _current(self) -> str:
+        return f"{self.path}/gen-{max(self._generations(), default=0)}"
+
+    def table(self) -> DataFrame:
+        if not self._generations():
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(SCHEMA).parquet(self._current())
 
     def read(self) -> DataFrame:
         return latest(self.table())
 
     def add(self, fresh: DataFrame) -> None:
         """Appends (key, value)."""
-        fresh.select("key", "value", F.current_timestamp().alias("ts"), F.octet_length("value").cast("bigint").alias("bytes")).write.mode("append").option("compression", "zstd").parquet(self.path)
+        fresh.select("key", "value", F.current_timestamp().alias("ts"), F.octet_length("value").cast("bigint").alias("bytes")).write.mode("append").option("compression", "zstd").parquet(self._current())
 
     def stats(self) -> DataFrame:
         return stats(self.table())
 
     def compact(self) -> None:
         """Rewrites the table without old versions and, newest first, within the size limit."""
-        p, fs = self._fs()
-        if not fs.exists(p):
+        have = self._generations()
+        if not have:
             return
-        new = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + ".new")
-        prune(self.table(), self.max_bytes).write.mode("overwrite").option("compression", "zstd").parquet(self.path + ".new")
-        fs.delete(p, True)
-        fs.rename(new, p)
+        made, fs = self._fs("writing")
+        prune(self.table(), self.max_bytes).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/writing")
+        fs.rename(made, self._fs(f"gen-{have[-1] + 1}")[0])
+        for old in have[:-1]:
+            fs.delete(self._fs(f"gen-{old}")[0], True)

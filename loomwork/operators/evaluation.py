@@ -61,6 +61,16 @@ def _simple(t: Column, p: Column, variables: tuple[Variable, ...], prefix: tuple
     return out
 
 
+def _values(items: Column, v: Variable) -> Column:
+    """Values of a scalar variable in all objects."""
+    return F.transform(items, lambda i: _token(i[v.name], v.spark_type))
+
+
+def _lists(items: Column, v: Variable) -> Column:
+    """Lists of a list variable in all objects, those that aren't null."""
+    return F.transform(F.filter(items, lambda i: i[v.name].isNotNull()), lambda i: F.when(F.size(i[v.name]) > 0, F.to_json(i[v.name])))
+
+
 def _objects(t: Column, p: Column, variables: tuple[Variable, ...], kind: T.StructType, path: tuple[str, ...], required: dict[str, bool]) -> list[Column]:
     both = t.isNotNull() & p.isNotNull()
     some = both & ((F.size(t) > 0) | (F.size(p) > 0))
@@ -71,12 +81,12 @@ def _objects(t: Column, p: Column, variables: tuple[Variable, ...], kind: T.Stru
         field = ".".join((*path, v.name))
         need = required.get(field, True)
         if not v.is_list:
-            tokens = [F.transform(x, lambda i, v=v: _token(i[v.name], v.spark_type)) for x in (t, p)]
+            tokens = [_values(x, v) for x in (t, p)]
             out.append(_sets(*tokens, field, some & (F.lit(need) | (F.size(F.filter(tokens[0], lambda x: x.isNotNull())) > 0))))
         else:
             # lists inside objects: as sets of whole lists, at the same path
-            tokens = [F.transform(F.filter(x, lambda i, v=v: i[v.name].isNotNull()), lambda i, v=v: F.when(F.size(i[v.name]) > 0, F.to_json(i[v.name]))) for x in (t, p)]
-            out.append(_sets(*tokens, field, some & (F.lit(need) | (F.size(F.filter(tokens[0], lambda x: x.isNotNull())) > 0) | (F.lit(required.get(field, False)) | (F.size(tokens[0]) > 0)))))
+            tokens = [_lists(x, v) for x in (t, p)]
+            out.append(_sets(*tokens, field, some & (F.lit(need) | (F.size(tokens[0]) > 0))))
     return out
 
 

@@ -177,6 +177,7 @@ class MemoryStore(Store):
         if (old := self.tables.get(name)) is not None and old is not df:
             old.unpersist()
         self.tables[name] = df.persist()
+        self.tables[name].count()  # now, since what it is made of may change
         return self.tables[name]
 
     def _load(self, name: str) -> DataFrame:
@@ -195,6 +196,7 @@ class MemoryStore(Store):
         old = self.tables.get("batches")
         if old is not None:
             fresh = old.join(fresh.select("batch_id").distinct(), "batch_id", "left_anti").unionByName(fresh).persist()
+        fresh.count()
         self.tables["batches"] = fresh
 
     def batch_path(self, batch_id: int) -> str:
