@@ -172,15 +172,30 @@ class Model:
         return g
 
 
+def _sliced_bags(data: np.ndarray, off: np.ndarray) -> tuple[Bags, np.ndarray]:
+    """(bags, a word hash for each document that has it), made slice by slice, so that only what is kept follows the input."""
+    parts, seen, n_pass = [], [], 0
+    for _, _, d, o in K.slices(data, off):
+        b = bags(d, o)
+        doc = np.repeat(np.arange(len(b.first) - 1), np.diff(b.first))[b.word_at]
+        order = np.lexsort((doc, b.word))
+        w, k = b.word[order], doc[order]
+        seen.append(w[np.concatenate([[True], (w[1:] != w[:-1]) | (k[1:] != k[:-1])])] if len(w) else w)
+        parts.append((b.word, b.word_at + n_pass, b.shape, np.diff(b.first)))
+        n_pass += int(b.first[-1])
+    if not parts:
+        return bags(data, off), np.zeros(0, K.U64)
+    word, at, shape, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Bags(word, at, shape, np.concatenate([[0], np.cumsum(n)])), np.concatenate(seen)
+
+
 def fit(texts: pa.Array, quality: np.ndarray, toxic: np.ndarray, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, seed: int = 7) -> Model:
     """Adam over mini-batches of documents, at a falling rate, half of the words dropped each time; words in at least min_docs of the distinct texts make the vocabulary."""
     data, off = K.flat(texts)
-    b = bags(data, off)
+    b, pairs = _sliced_bags(data, off)
     n = np.diff(b.first)
     has = np.flatnonzero(n > 0)
-    doc_of = np.repeat(np.arange(len(n)), n)
-    pair = np.unique(np.stack([b.word, doc_of[b.word_at].astype(K.U64)], axis=1), axis=0) if len(b.word) else np.zeros((0, 2), K.U64)
-    words, seen = np.unique(pair[:, 0], return_counts=True)
+    words, seen = np.unique(pairs, return_counts=True)
     model = Model(words[seen >= min_docs], seed)
     for head, y in (("q", quality), ("t", toxic)):
         if len(has) == 0 or len(set(y[has].tolist())) < 2:
