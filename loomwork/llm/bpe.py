@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 # what \s matches, as a class of its own
 _SPACES = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
