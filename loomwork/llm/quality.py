@@ -172,52 +172,60 @@ class Model:
         return g
 
 
-def _sliced_bags(data: np.ndarray, off: np.ndarray) -> tuple[Bags, np.ndarray]:
-    """(bags, a word hash for each document that has it), made slice by slice, so that only what is kept follows the input."""
-    parts, seen, n_pass = [], [], 0
+def _document_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, in how many documents each is), counted slice by slice."""
+    seen = [np.zeros(0, K.U64)]
     for _, _, d, o in K.slices(data, off):
         b = bags(d, o)
         doc = np.repeat(np.arange(len(b.first) - 1), np.diff(b.first))[b.word_at]
         order = np.lexsort((doc, b.word))
         w, k = b.word[order], doc[order]
         seen.append(w[np.concatenate([[True], (w[1:] != w[:-1]) | (k[1:] != k[:-1])])] if len(w) else w)
-        parts.append((b.word, b.word_at + n_pass, b.shape, np.diff(b.first)))
+    return np.unique(np.concatenate(seen), return_counts=True)
+
+
+def _known_bags(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the known words, their passages, shapes, first passage of each document): slice by slice, so that what isn't known is never held together."""
+    rows, at, shape, n, n_pass = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros((0, N_SHAPES), np.float32)], [np.zeros(1, np.int64)], 0
+    for _, _, d, o in K.slices(data, off):
+        b = bags(d, o)
+        r = model.rows(b.word)
+        rows.append(r[r >= 0])
+        at.append((b.word_at[r >= 0] + n_pass).astype(np.int32))
+        shape.append(b.shape)
+        n.append(np.diff(b.first))
         n_pass += int(b.first[-1])
-    if not parts:
-        return bags(data, off), np.zeros(0, K.U64)
-    word, at, shape, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return Bags(word, at, shape, np.concatenate([[0], np.cumsum(n)])), np.concatenate(seen)
+    return np.concatenate(rows), np.concatenate(at), np.concatenate(shape), np.cumsum(np.concatenate(n))
 
 
 def fit(texts: pa.Array, quality: np.ndarray, toxic: np.ndarray, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, seed: int = 7) -> Model:
     """Adam over mini-batches of documents, at a falling rate, half of the words dropped each time; words in at least min_docs of the distinct texts make the vocabulary."""
     data, off = K.flat(texts)
-    b, pairs = _sliced_bags(data, off)
-    n = np.diff(b.first)
-    has = np.flatnonzero(n > 0)
-    words, seen = np.unique(pairs, return_counts=True)
+    words, seen = _document_counts(data, off)
     model = Model(words[seen >= min_docs], seed)
+    row, word_at, shape, first_passage = _known_bags(model, data, off)
+    n = np.diff(first_passage)
+    has = np.flatnonzero(n > 0)
     for head, y in (("q", quality), ("t", toxic)):
         if len(has) == 0 or len(set(y[has].tolist())) < 2:
             model.constant[head] = 1.0 if head == "q" else 0.0
     if len(has) == 0:
         return model
     rng = np.random.default_rng(seed)
-    row = model.rows(b.word)
-    word_first = np.searchsorted(b.word_at, b.first)
+    word_first = np.searchsorted(word_at, first_passage)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(x) for k, x in model.p.items()}
     step, parts = 0, max(1, len(has) // 64)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(has), parts):
             span = lambda starts: np.concatenate([np.arange(starts[d], starts[d + 1]) for d in part])  # noqa: E731,B023
-            ps, ws = span(b.first), span(word_first)
+            ps, ws = span(first_passage), span(word_first)
             first = np.concatenate([[0], np.cumsum(n[part])])
-            local = np.full(int(b.first[-1]), -1)
+            local = np.full(int(first_passage[-1]), -1)
             local[ps] = np.arange(len(ps))
-            r, at = row[ws], local[b.word_at[ws]]
-            keep = (r >= 0) & (rng.random(len(r)) > DROP)
-            g = model.gradients(r, at, b.shape[ps], first, {"q": quality[part], "t": toxic[part]}, keep)
+            r, at = row[ws], local[word_at[ws]]
+            keep = rng.random(len(r)) > DROP
+            g = model.gradients(r, at, shape[ps], first, {"q": quality[part], "t": toxic[part]}, keep)
             step += 1
             for k, x in model.p.items():
                 grad = g[k] + (DECAY if k == "E" else 1e-5) * x

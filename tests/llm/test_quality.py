@@ -84,10 +84,13 @@ def test_bags_of_whole_texts_in_slices(monkeypatch):
     data, off = K.flat(texts)
     whole = quality.bags(data, off)
     monkeypatch.setattr(K, "SLICE_BYTES", 64)
-    sliced, pairs = quality._sliced_bags(data, off)
-    for a, b in zip(vars(whole).values(), vars(sliced).values(), strict=True):
-        assert np.array_equal(a, b)
-    assert len(pairs) == 4 + 2 + 1  # thre- and three are two
+    words, seen = quality._document_counts(data, off)
+    assert len(words) == 4 + 2 + 1 and seen.tolist() == [1] * 7  # thre- and three are two
+    model = quality.Model(words[1:])
+    row, at, shape, first = quality._known_bags(model, data, off)
+    want = model.rows(whole.word)
+    assert np.array_equal(row, want[want >= 0]) and np.array_equal(at, whole.word_at[want >= 0])
+    assert np.array_equal(shape, whole.shape) and np.array_equal(first, whole.first)
     assert np.diff(whole.first).tolist() == [10, 0, 0, 1, 11]
 
 
