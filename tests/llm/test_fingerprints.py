@@ -61,6 +61,22 @@ def test_query_matches_brute_force(spark, texts):
     assert out[0].items == [70] and out[1].items == [70] and out[2].items == []
 
 
+def test_short_items_are_matched_on_all_their_shingles(spark, monkeypatch):
+    rng = random.Random(18)
+    passages = {i: text(rng, 16) for i in range(80)}
+    held = {i: text(rng, 300) + " " + t + " " + text(rng, 300) for i, t in passages.items()}
+    # one word at the end of each is another
+    edited = {100 + i: text(rng, 100) + " " + " ".join([*letter_words(t)[:-1], "changed"]) for i, t in passages.items()}
+    # and only one shingle is shared
+    slight = {200 + i: text(rng, 100) + " " + " ".join(letter_words(t)[: fp.SHINGLE]) for i, t in passages.items()}
+    items = spark.createDataFrame(list(passages.items()), "item_id bigint, text string")
+    df = docs(spark, [*held.items(), *edited.items(), *slight.items()])
+    want = {i: [i % 100] if i < 200 else [] for i in [*held, *edited, *slight]}
+    assert {r.doc_id: r["items"] for r in fp.fingerprints(df, items, Scratch(spark, "t")).collect()} == want
+    monkeypatch.setattr(fp, "BROADCAST_HASHES", -1)
+    assert {r.doc_id: r["items"] for r in fp.fingerprints(df, items, Scratch(spark, "t")).collect()} == want
+
+
 def test_awkward_rows(spark):
     df = awkward(spark)
     items = spark.createDataFrame([(1, None), (None, "two words"), (3, "")], "item_id bigint, text string")
