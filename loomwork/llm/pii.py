@@ -1,7 +1,10 @@
 """Personal data by bootstrapped contextual extraction.
 
-Candidates are tokens with a digit or an at sign (neighbouring pieces of a
-number are one candidate). Seeds are candidates that a strict rule knows
+Candidates are pieces with a digit or an at sign of tokens (neighbouring
+pieces of a number are one candidate). A strict rule is searched for within a
+token, so that brackets, labels, quotes and separators around a value don't
+hide it, and a token may hold several; what is left of it is cut at quotes,
+separators and brackets, and labels are context. Seeds are candidates that a strict rule knows
 (e-mail and IP addresses, international telephone numbers, card numbers with
 a right check digit, access keys, labelled secrets) and, as counter-examples,
 small numerals. Each candidate gives patterns of its form and of its
@@ -45,13 +48,22 @@ _MARK = np.zeros(256, bool)
 _MARK[[*range(48, 58), 64]] = True
 _PIECE = re.compile(r"[+(]*\d[\d()\-]{0,8}")
 _EDGE = " \t.,;:!?\"'`#$%&*<>[]{}|~^/\\"
+_BARE = _EDGE + "()=-"
 _EMAIL = re.compile(r"[^\W_][\w.%+\-]*@[^\W_][\w\-]*(\.[\w\-]+)+")
+_EMAIL_IN = re.compile(r"(?<![\w.%+\-])[\w.%+\-]+@[^\W_][\w\-]*(?:\.[\w\-]+)+(?<=[^\W_])")
 _PHONE = re.compile(r"\+\d{1,3}[ \-.]?\(?\d{2,4}\)?[ \-.]?\d{3,4}[ \-.]\d{3,4}")
 _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}", re.I)
-_SECRET = re.compile(r"(?:password|passwd|secret|api_?key|token)[=:]\S{6,}", re.I)
+_SECRET = re.compile(r"(?:password|passwd|secret|api_?key|token)[\"']?[=:](?:\"[^\"\s]{6,}|'[^'\s]{6,}|(?![\"'])(?:(?![;,&][\"']?\w+[\"']?[=:]|[<>])\S){6,})", re.I)
 _HEX = re.compile(r"[0-9a-f]{32,}", re.I)
-_LABEL = re.compile(r"(?:token|secret|password|key)\s*[=:]$", re.I)
+_LABEL = re.compile(r"(?:token|secret|password|key)[\"']?\s*[=:]$", re.I)
+_IP_IN = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")
+_PHONE_IN = re.compile(r"(?<![\w+])" + _PHONE.pattern + r"(?!\d)")
+_KEY_IN = re.compile(r"(?<![^\W_])" + _KEY.pattern + r"(?![^\W_])", re.I)
+_CARD_IN = re.compile(r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?!\w)")
+_PREFIX = re.compile(r"[\"'(\[{<]*(?:[A-Za-z_]+[\"']?[:=])?[\"'(]*")
+_PART = re.compile(r"(?:(?!,\D)[^;|<>{}\[\]\"'`=&])+")
+_NAME = re.compile(r"[A-Za-z_][\w.\-]*:+(?=[^:/]+$)")
 _RUNS = re.compile(r"\d+|[^\W\d_]+|[\s\S]")
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "KEY", "SECRET"]
 
@@ -84,6 +96,43 @@ def seed(value: str, left: str) -> str | None:
     return None
 
 
+def rule_spans(text: str) -> list[tuple[int, int]]:
+    """Where the rules match within a token, in order; of overlapping ones the first rule's."""
+    out: list[tuple[int, int]] = []
+    for rule in (_SECRET, _EMAIL_IN, _KEY_IN, _IP_IN, _PHONE_IN, _CARD_IN):
+        if rule is _EMAIL_IN and "@" not in text:
+            continue
+        for m in rule.finditer(text):
+            a, b = m.span()
+            if rule is _SECRET:
+                b = a + len(m.group().rstrip(_EDGE + ")"))
+            elif rule is _EMAIL_IN:
+                a = b - len(m.group().lstrip("_.%+-"))
+            if seed(text[a:b], "") not in (None, "NONE") and all(b <= x or y <= a for x, y in out):
+                out.append((a, b))
+    return sorted(out)
+
+
+def pieces(text: str) -> list[tuple[int, int]]:
+    """Where the candidates of a token are: what rules match, and of the rest the parts between quotes, separators and brackets, without labels."""
+    spans, lo = [], 0
+    known = rule_spans(text)
+    for a, b in [*known, (len(text), len(text))]:
+        for m in _PART.finditer(text, lo, a):
+            part, at = m.group(), m.start()
+            head = len(part) - len(part.lstrip(_EDGE))
+            core = part.strip(_EDGE)
+            if name := _NAME.match(core):
+                head, core = head + name.end(), core[name.end() :]
+            if core.count("(") != core.count(")") or (core[:1] == "(" and core[-1:] == ")" and core.find(")") == len(core) - 1):
+                inner = core.strip("()")
+                head, core = head + core.find(inner), inner
+            if any(c.isdecimal() or c == "@" for c in core):
+                spans.append((at + head, at + head + len(core)))
+        lo = b
+    return sorted(spans + known)
+
+
 def shape(value: str) -> str:
     """Form of a value: a long mixture is only its alphabet and length, else runs with lengths of digits and letters."""
     if len(value) >= 16 and value.isalnum() and not value.isdecimal():
@@ -100,10 +149,10 @@ def coarse(value: str) -> str:
 
 def patterns(value: str, left: str, right: str) -> list[str]:
     """Lexical patterns of a candidate: its form, its form after the words before it, its opening letters, its form between its neighbours."""
-    s, words = shape(value), left.casefold().split()
+    s, words = shape(value), [w for x in left.casefold().split() if (w := x.strip(_BARE))]
     out = ["form " + s]
     if words:
-        out.append("after " + " ".join(words[-2:]) + " > " + re.sub(r"\d+", "", coarse(value)))
+        out.append("after " + " ".join(words[-2:]) + " > " + re.sub(r"\d+", "", coarse(value)).replace("-", " "))
         out.append("between " + words[-1] + " > " + s + " < " + right.casefold()[:16])
     if (m := re.match(r"[^\W\d_]{4}", value)) and len(value) >= 8:
         out.append("opens " + m.group().casefold() + " > " + str(len(value)))
@@ -126,7 +175,7 @@ def candidates(d: np.ndarray, o: np.ndarray) -> Iterator[tuple[int, int, int, st
         a, b = int(starts[k]), int(ends[k])
         text = raw[a:b].decode("utf-8", "replace")
         j = i
-        if _PIECE.fullmatch(text.rstrip("!#$%&*")):
+        if _PIECE.fullmatch(text[_PREFIX.match(text).end() :].rstrip("!#$%&*")):
             while j + 1 < len(toks) and toks[j + 1] == toks[j] + 1 and doc[j + 1] == who and starts[toks[j + 1]] == b + 1:
                 more = raw[starts[toks[j + 1]] : ends[toks[j + 1]]].decode("utf-8", "replace")
                 if not _PIECE.fullmatch(more.strip(_EDGE)) or more[0] == "+":
@@ -134,17 +183,14 @@ def candidates(d: np.ndarray, o: np.ndarray) -> Iterator[tuple[int, int, int, st
                 j += 1
                 b = int(ends[toks[j]])
             text = raw[a:b].decode("utf-8", "replace")
-        head = len(text) - len(text.lstrip(_EDGE))
-        core = text.strip(_EDGE)
-        if core.count("(") != core.count(")"):
-            core = core.strip("()")
-            head = text.find(core)
-        if core:
-            s = a + len(text[:head].encode())
+        spans = pieces(text)
+        if spans:
             before = raw[int(starts[max(first[who], k - 2)]) : a].decode("utf-8", "replace")
             nxt = toks[j] + 1
             after = raw[int(starts[nxt]) : int(ends[nxt])].decode("utf-8", "replace") if nxt < first[who + 1] else ""
-            yield who, s, s + len(core.encode()), core, (before.rstrip() + " " if head == 0 else before.rstrip()).strip(" \"'"), after
+        for x, y in spans:
+            s = a + len(text[:x].encode())
+            yield who, s, s + len(text[x:y].encode()), text[x:y], (before + text[:x]).strip(" \"'([{<"), text[y:].strip(_BARE) or after
         i = j + 1
 
 
