@@ -1,13 +1,14 @@
 """Personal data by bootstrapped contextual extraction.
 
 Candidates are pieces with a digit or an at sign of tokens (neighbouring
-pieces of a number are one candidate). A strict rule is searched for within a
+pieces of a number are one candidate), what follows a label (password, secret,
+token, key, user), and long mixtures of capital and small letters. A strict rule is searched for within a
 token, so that brackets, labels, quotes and separators around a value don't
 hide it, and a token may hold several; what is left of it is cut at quotes,
 separators and brackets, and labels are context. Seeds are candidates that a strict rule knows
 (e-mail and IP addresses, international telephone numbers, card numbers with
 a right check digit, access keys, labelled secrets) and, as counter-examples,
-small numerals. Each candidate gives patterns of its form and of its
+numerals of at most four digits. Each candidate gives patterns of its form and of its
 context. Spark scores the graph of patterns and instances in turns:
 
     confidence of a pattern for a kind
@@ -45,7 +46,8 @@ from .store import Scratch, unused
 TURNS, SUPPORT, ACCEPT, MAX_BROADCAST_PATTERNS = 3, 3, 0.8, 500_000
 
 _MARK = np.zeros(256, bool)
-_MARK[[*range(48, 58), 64]] = True
+_MARK[[*range(48, 58), 58, 61, 64]] = True
+LONG = 16
 _PIECE = re.compile(r"[+(]*\d[\d()\-]{0,8}")
 _EDGE = " \t.,;:!?\"'`#$%&*<>[]{}|~^/\\"
 _BARE = _EDGE + "()=-"
@@ -64,6 +66,9 @@ _CARD_IN = re.compile(r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?!\w)")
 _PREFIX = re.compile(r"[\"'(\[{<]*(?:[A-Za-z_]+[\"']?[:=])?[\"'(]*")
 _PART = re.compile(r"(?:(?!,\D)[^;|<>{}\[\]\"'`=&])+")
 _NAME = re.compile(r"[A-Za-z_][\w.\-]*:+(?=[^:/]+$)")
+_LABELLED = re.compile(r"(?<![^\W_])(password|passwd|secret|api_?key|token|key|user)(?:name)?[\"']?\s*[=:]+$", re.I)
+_MIXED = re.compile(r"\d.*[^\W\d_]|[^\W\d_].*\d")
+_NUMERAL = re.compile(r"(?:(?![@_])[\d\W])+")
 _RUNS = re.compile(r"\d+|[^\W\d_]+|[\s\S]")
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "KEY", "SECRET"]
 
@@ -91,7 +96,9 @@ def seed(value: str, left: str) -> str | None:
     digits = value.replace(" ", "").replace("-", "")
     if digits.isdecimal() and digits.isascii() and 13 <= len(digits) <= 19 and luhn(digits):
         return "CARD"
-    if "@" not in value and sum(c.isdecimal() for c in value) <= 4:
+    if (m := _LABELLED.search(left)) and m.group(1) not in ("key", "user") and len(value) >= 6 and " " not in value and _MIXED.search(value):
+        return "SECRET"
+    if _NUMERAL.fullmatch(value) and sum(c.isdecimal() for c in value) <= 4:
         return "NONE"
     return None
 
@@ -113,10 +120,18 @@ def rule_spans(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def pieces(text: str) -> list[tuple[int, int]]:
-    """Where the candidates of a token are: what rules match, and of the rest the parts between quotes, separators and brackets, without labels."""
+def _is_long_mixture(value: str) -> bool:
+    return len(value) >= LONG and value.isalnum() and re.search(r"[a-z]", value) is not None and re.search(r"[A-Z]", value[1:]) is not None
+
+
+def pieces(text: str, before: str = "") -> list[tuple[int, int]]:
+    """Where the candidates of a token are: what rules match, and of the rest the parts between quotes, separators and brackets, without labels. What follows a label is one, whatever it has."""
     spans, lo = [], 0
     known = rule_spans(text)
+    if not known and _LABELLED.search(before):
+        core = text.strip(_EDGE + ("()" if text.count("(") != text.count(")") or text[0] == "(" else ""))
+        if core:
+            return [(text.find(core), text.find(core) + len(core))]
     for a, b in [*known, (len(text), len(text))]:
         for m in _PART.finditer(text, lo, a):
             part, at = m.group(), m.start()
@@ -127,7 +142,7 @@ def pieces(text: str) -> list[tuple[int, int]]:
             if core.count("(") != core.count(")") or (core[:1] == "(" and core[-1:] == ")" and core.find(")") == len(core) - 1):
                 inner = core.strip("()")
                 head, core = head + core.find(inner), inner
-            if any(c.isdecimal() or c == "@" for c in core):
+            if any(c.isdecimal() or c == "@" for c in core) or core and (_LABELLED.search(text[: at + head].rstrip("\"'")) or _is_long_mixture(core)):
                 spans.append((at + head, at + head + len(core)))
         lo = b
     return sorted(spans + known)
@@ -154,6 +169,8 @@ def patterns(value: str, left: str, right: str) -> list[str]:
     if words:
         out.append("after " + " ".join(words[-2:]) + " > " + re.sub(r"\d+", "", coarse(value)).replace("-", " "))
         out.append("between " + words[-1] + " > " + s + " < " + right.casefold()[:16])
+    if m := _LABELLED.search(left):
+        out.append("label " + m.group(1).casefold())
     if (m := re.match(r"[^\W\d_]{4}", value)) and len(value) >= 8:
         out.append("opens " + m.group().casefold() + " > " + str(len(value)))
     return out
@@ -161,11 +178,16 @@ def patterns(value: str, left: str, right: str) -> list[str]:
 
 def candidates(d: np.ndarray, o: np.ndarray) -> Iterator[tuple[int, int, int, str, str, str]]:
     """(document, start and end in bytes within the slice, value, text before, token after)."""
-    marked = np.flatnonzero(_MARK[d])
-    if not len(marked):
-        return
     t = K.tokens(d, o, K.NONSPACE)
-    tok = np.unique(np.searchsorted(t.start, marked, "right") - 1)
+    marked = np.unique(np.searchsorted(t.start, np.flatnonzero(_MARK[d]), "right") - 1)
+    # what follows a token that ends in : or =
+    last = d[t.end[marked] - 1] if len(marked) else marked
+    follows = marked[(last == 58) | (last == 61)] + 1
+    capitals, small = (np.concatenate([[0], np.cumsum((d >= c) & (d < c + 26))]) for c in (65, 97))
+    long = np.flatnonzero((t.end - t.start >= LONG) & (capitals[t.end] - capitals[t.start + 1] > 0) & (small[t.end] - small[t.start] > 0)) if len(t.start) else marked
+    tok = np.unique(np.concatenate([marked, follows[follows < len(t.start)], long]))
+    if not len(tok):
+        return
     doc = (np.searchsorted(t.first, tok, "right") - 1).tolist()
     raw, first = d.tobytes(), t.first.tolist()
     starts, ends, toks = t.start, t.end, tok.tolist()
@@ -183,9 +205,9 @@ def candidates(d: np.ndarray, o: np.ndarray) -> Iterator[tuple[int, int, int, st
                 j += 1
                 b = int(ends[toks[j]])
             text = raw[a:b].decode("utf-8", "replace")
-        spans = pieces(text)
+        before = raw[int(starts[max(first[who], k - 2)]) : a].decode("utf-8", "replace")
+        spans = pieces(text, before.rstrip(" \"'"))
         if spans:
-            before = raw[int(starts[max(first[who], k - 2)]) : a].decode("utf-8", "replace")
             nxt = toks[j] + 1
             after = raw[int(starts[nxt]) : int(ends[nxt])].decode("utf-8", "replace") if nxt < first[who + 1] else ""
         for x, y in spans:

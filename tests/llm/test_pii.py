@@ -123,6 +123,40 @@ def test_brackets_and_labels_do_not_hide_unseen_identifiers(spark, corpus):
     assert {(1000 + i, v) for i, v in enumerate(hidden)} <= found
 
 
+def test_secrets_with_few_digits_or_none(spark):
+    rng = random.Random(20)
+    w = lambda n: " ".join(words(rng, n))
+    key = lambda letters, n=24: "".join(rng.choice(letters) for _ in range(n))
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{w(9)} password: Tr0ub4d{i}r {w(5)} in {1990 + i} of 12,5") for i in range(9)]
+    hidden = {
+        20: "hunterhunter",  # after a label, no digit
+        21: "password=correcthorse",
+        22: "Tr0ub4dor",
+        23: "x7Kd" + key(base, 20),
+        24: key(base),
+    }
+    rows += [
+        (20, f"{w(5)} password: {hidden[20]} {w(4)}"),
+        (21, f"{w(5)} {hidden[21]} {w(4)}"),
+        (22, f'{w(5)} {{"secret": "{hidden[22]}"}} {w(4)}'),
+    ]
+    # random keys: known by form and by what comes before
+    rows += [(100 + i, f"{w(5)} api_key={key(base + '0123456789')} {w(5)}") for i in range(5)]
+    rows += [(23, f"{w(5)} password: {hidden[23]} {w(4)}"), (24, f"{w(5)} password: {hidden[24]} {w(4)}")]
+    out = pii.find(docs(spark, rows), Scratch(spark, "t")).collect()
+    got = {(r.doc_id, r.value) for r in out}
+    assert set(hidden.items()) <= got
+    assert {r.kind for r in out} == {"SECRET"} and all(r.doc_id >= 20 or r.value.startswith("Tr0ub") for r in out)
+    red = {r.doc_id: r.text for r in pii.redact(docs(spark, rows), Scratch(spark, "t")).collect()}
+    assert all(v not in red[i] for i, v in hidden.items()) and "in 1990 of 12,5" in red[0]
+
+
+def test_only_small_numerals_are_counter_examples():
+    assert all(pii.seed(v, "") == "NONE" for v in ("7", "12,5", "2024", "(12)", "12-34"))
+    assert all(pii.seed(v, "") is None for v in ("bob99", "aKdjeX7wQpLmNvBtRzYcUsHg", "20245"))
+
+
 def test_confidence_is_by_mass(spark):
     """A pattern that counter-examples share isn't confident."""
     rows = [(f"v{i}", "CARD" if i < 5 else "NONE", ["form x"]) for i in range(10)] + [(f"u{i}", "CARD", ["form y"]) for i in range(9)]
