@@ -205,6 +205,18 @@ def encode_chunk(d: np.ndarray, o: np.ndarray, v: Vocabulary) -> tuple[np.ndarra
     return out, np.concatenate([[0], ends])[np.searchsorted(start, o)]
 
 
+def counts(texts: list[str], v: Vocabulary) -> np.ndarray:
+    """Number of tokens of each text."""
+    raw = [x.encode() for x in texts]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
+    data, out, lo = np.frombuffer(b"".join(raw), np.uint8), [np.zeros(0, np.int64)], 0
+    while lo < len(raw):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK_BYTES, "right")) - 1)
+        out.append(np.diff(encode_chunk(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], v)[1]))
+        lo = hi
+    return np.concatenate(out)
+
+
 def encode(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens, tokens, round_trip); round_trip says that decoding gives the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))

@@ -15,7 +15,10 @@ boundaries, and their cost splits into a part of the start and a part of the
 end; so a monotone queue gives each transition in constant time.
 
 A token here is a maximal run of characters that aren't white space, or what
-`count` makes of each sentence.
+`count` makes of each sentence. With `gaps`, what it counts begins with the
+white space before the sentence (before a document, the blank line that is
+put between documents), so that the counts add up to that of the window; only
+the gap before its first sentence isn't in its text.
 
 Defined results for odd input: null, empty or blank texts hold no token and
 are in no window; a null doc_id is a shard of its own; rows that repeat a
@@ -33,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from . import kernels as K
 
 CAPACITY, SHARD, TRUNCATION, INSIDE = 1024, 1024, 2.0, 16.0
@@ -88,14 +92,20 @@ def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return t.start[s], t.end[e], doc, e - s + 1
 
 
-def pack_shard(ids: pa.Array, text: pa.Array, shard: int | None, capacity: int, truncation: float, inside: float, count: Callable | None) -> pa.RecordBatch:
+def pack_shard(ids: pa.Array, text: pa.Array, shard: int | None, capacity: int, truncation: float, inside: float, count: Callable | None, gaps: bool = False) -> pa.RecordBatch:
     order = pc.sort_indices(pa.table({"i": ids, "t": text}), sort_keys=[("i", "ascending"), ("t", "ascending")])
     ids, text = ids.take(order), text.take(order)
     data, off = K.flat(text)
     start, end, doc, size = sentences(data, off)
     raw = data.tobytes()
     if count is not None:
-        size = np.asarray(count(K.strings(raw, start, end)), dtype=np.int64)
+        if gaps:
+            same = np.append(False, doc[1:] == doc[:-1])
+            spans = K.strings(raw, np.where(same, np.roll(end, 1), start), end)
+            spans = [x if s else "\n\n" + x for x, s in zip(spans, same.tolist(), strict=True)]
+        else:
+            spans = K.strings(raw, start, end)
+        size = np.asarray(count(spans), dtype=np.int64)
         keep = size > 0
         start, end, doc, size = start[keep], end[keep], doc[keep], size[keep]
     rows: list[list] = [[] for _ in range(7)]
@@ -125,6 +135,7 @@ def pack(
     truncation: float = TRUNCATION,
     inside: float = INSIDE,
     count: Callable[[list[str]], list[int]] | None = None,
+    gaps: bool = False,
 ) -> DataFrame:
     """Windows of at most `capacity` tokens. A window that is one sentence of more keeps its whole text; `truncated` says how many tokens a trainer will cut."""
 
@@ -135,7 +146,7 @@ def pack(
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             one = lambda k: t.column(k).chunk(0) if t.column(k).num_chunks else pa.array([], t.schema.field(k).type)
-            return pack_shard(one(1), one(2), t.column(0)[0].as_py(), capacity, truncation, inside, count)
+            return pack_shard(one(1), one(2), t.column(0)[0].as_py(), capacity, truncation, inside, count, gaps)
 
         current = None
         for batch in batches:
@@ -158,3 +169,9 @@ def pack(
         "text",
     ).where("text is not null")
     return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, SCHEMA)
+
+
+def pack_tokens(docs: DataFrame, path: str = bpe.TOKENIZER, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+    """Windows of at most `capacity` tokens of the byte-level vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(bpe.Vocabulary(path))
+    return pack(docs, capacity, shard, count=lambda texts: bpe.counts(texts, shared.value), gaps=True)

@@ -25,7 +25,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack_tokens(documents(spark, sf_dir))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 from functools import lru_cache
 
+import corpus_pipeline
 import numpy as np
 import pytest
-from loomwork.llm import packing
+from loomwork.llm import bpe, packing, queries
 
 from .common import awkward, docs, nothing, text
 
@@ -73,6 +74,20 @@ def test_counter_of_tokens(spark):
     assert [(r.n_tokens, r.text) for r in out] == [(7, "abc de."), (6, "fgh. ij")] or sum(r.n_tokens for r in out) == 13
 
 
+def test_tokens_are_those_of_the_vocabulary(spark, tmp_path):
+    blob = "aGVsbG8gd29ybGQhIQ" * 1000  # one word of 18,000 letters
+    rows = [(0, blob), *((i, text(random.Random(i), 200)) for i in range(1, 9))]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    v = bpe.Vocabulary()
+    tables = [queries.op4_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs(spark, rows), str(tmp_path))]
+    for out in [t.orderBy("shard", "window").collect() for t in tables]:
+        assert " ".join(r.text for r in out).split() == " ".join(t for _, t in rows).split()
+        real = bpe.counts([r.text for r in out], v).tolist()
+        assert all(abs(r.n_tokens - n) <= 3 and r.truncated == max(0, r.n_tokens - packing.CAPACITY) for r, n in zip(out, real, strict=True))
+        (long,) = [r for r in out if blob in r.text]
+        assert long.text == blob and long.truncated > 1000
+
+
 def test_sentence_longer_than_a_window_is_whole(spark):
     long = " ".join(["word"] * 50)
     (r,) = packing.pack(docs(spark, [(0, long)]), capacity=20).collect()
