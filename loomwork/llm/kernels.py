@@ -222,6 +222,22 @@ class HashTable:
         return out
 
 
+class Lookup:
+    """Keys to broadcast, whose table each Python worker makes once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self._table = keys, None
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "_table": None}
+
+    @property
+    def table(self) -> HashTable:
+        if self._table is None:
+            self._table = HashTable(self.keys)
+        return self._table
+
+
 def lower(arr: pa.Array) -> pa.Array:
     return pc.utf8_lower(arr)
 

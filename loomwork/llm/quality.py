@@ -9,18 +9,23 @@ attention of its own: quality and toxicity. Only document labels are used, so
 attention has to find the few passages that make a document toxic.
 
 Training takes at most `sample_rows` labelled documents (the documented
-bound), chosen by a hash of doc_id; scoring covers every document whole, on
-the executors, and no text is shuffled.
+bound), chosen by a hash of doc_id, in one task, so that the driver holds
+nothing but the model; scoring covers every document whole, on the executors,
+and no other text is shuffled.
 
 Defined results for odd input: a null, empty or blank text has no passage,
-scores null and is kept (nothing says that it is bad); a doc_id may be null or
-repeated, each row is scored for itself; labels that are null, or of
-documents that don't exist, are ignored; with fewer than two classes of a
-label, its head is constant and rejects nothing; other columns are kept.
+scores null and is kept (nothing says that it is bad); a very long
+text has as many passages as it needs; a doc_id may be null or repeated, each
+row is scored for itself; of several labels of a doc_id the greatest counts;
+labels that are null, or of documents that don't exist, are ignored; with
+fewer than two classes of a label, its head is constant and rejects nothing; a
+score that is just the threshold is kept; an empty table gives an empty
+result; other columns are kept.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -255,10 +260,19 @@ def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    t = sample(docs, labels, sample_rows).toArrow().sort_by([("_d", "ascending"), ("text", "ascending")])
-    _, once = np.unique(np.array(t.column("text").to_pylist(), dtype=object), return_index=True) if t.num_rows else (0, np.zeros(0, np.int64))
-    t = t.take(pa.array(np.sort(once)))
-    return fit(t.column("text"), t.column("quality").to_numpy(), t.column("toxic").to_numpy())
+    """The model, made by one task from the sample's texts, each once, in the order of doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        t = pa.Table.from_batches(held).combine_chunks() if held else None
+        if t is None or not t.num_rows:
+            t = pa.table({"_d": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "quality": pa.array([], pa.float64()), "toxic": pa.array([], pa.float64())})
+        made = fit(t.column("text"), t.column("quality").to_numpy(), t.column("toxic").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
+
+    once = sample(docs, labels, sample_rows).groupBy("text").agg(F.min(F.struct("_d", "quality", "toxic")).alias("x")).select("x._d", "text", "x.quality", "x.toxic")
+    rows = once.coalesce(1).sortWithinPartitions("_d", "text").mapInArrow(run, "model binary").collect()
+    return pickle.loads(rows[0]["model"]) if rows else fit(pa.array([], pa.string()), np.zeros(0), np.zeros(0))
 
 
 def _scores(model: Model, text: pa.Array) -> dict[str, np.ndarray]:
