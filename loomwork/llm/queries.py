@@ -20,8 +20,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return lm.score(docs, lm.train(docs, Scratch(spark, "op3")))
+    return lm.score(documents(spark, sf_dir), Scratch(spark, "op3"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
