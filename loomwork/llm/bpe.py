@@ -6,13 +6,17 @@ each adjacent pair to its positions takes every merge, in order of rank, to
 exactly the places where it applies, and only the neighbours of a place that
 was merged are indexed anew. So a merge costs what it touches, over all words
 at once, and a word that is frequent is merged once. A chunk is what a task
-holds at a time (CHUNK_BYTES of whole documents): words don't depend on each
-other, so nothing has to be shuffled.
+holds at a time (CHUNK_BYTES of whole documents), and a Python worker keeps
+the words of the chunks it has seen, so that "the" is merged once a worker,
+not once a chunk. Words don't depend on each other, so this gives the tokens
+of one replay over the whole corpus, without a shuffle.
 
 Defined results for odd input: a null text has null tokens; an empty one has
-none; doc_id may be null or repeated, each row is for itself; an empty table
-gives an empty result; other columns are ignored. Special tokens in a text
-are ordinary text.
+none; a very long text or word is encoded whole; bytes that aren't UTF-8 stay
+what they are; doc_id may be null or repeated, each row is for itself; an
+empty table gives an empty result; other columns are ignored. Special tokens
+in a text are ordinary text. Two pairs never have the same rank, so there are
+no ties.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, MAX_KNOWN = 8 << 20, 1 << 20
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 # what \s matches, as a class of its own
 _SPACES = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -73,9 +77,10 @@ class Vocabulary:
         self.spelled_at = np.concatenate([[0], np.cumsum([len(s) for s in spelled])])
         self.kinds = classes()
         self._table: K.HashTable | None = None
+        self.known: Known | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
+        return self.__dict__ | {"_table": None, "known": None}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of symbols, -1 where there is none."""
@@ -90,9 +95,11 @@ class Vocabulary:
 
 def words(d: np.ndarray, o: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Byte offsets where words begin: contractions, runs of letters, of numbers, of others (each with a blank before it), and of white space, as the byte-level pattern has them."""
-    begins_char = (d & 0xC0) != 0x80
-    at = np.flatnonzero(begins_char)
-    cp = np.frombuffer(d.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    # a byte that isn't UTF-8 is a character of its own
+    cp = np.frombuffer(d.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+    size[(cp >= 0xDC80) & (cp <= 0xDCFF)] = 1
+    at = np.cumsum(size) - size
     kind, n = kinds[cp], len(cp)
     doc = np.zeros(n + 1, bool)  # first character of a document
     doc[np.searchsorted(at, o)] = True
@@ -182,10 +189,26 @@ def replay(symbols: np.ndarray, first: np.ndarray, v: Vocabulary) -> tuple[np.nd
     return sym[alive], np.concatenate([[0], np.cumsum(alive)])[first]
 
 
-def encode_chunk(d: np.ndarray, o: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, first token of each document)."""
-    if not len(d):
-        return np.zeros(0, np.int32), np.zeros(len(o), np.int64)
+class Known:
+    """Words that were merged already, with their tokens; when there are MAX_KNOWN, they are forgotten."""
+
+    def __init__(self) -> None:
+        self.table = K.HashTable(np.zeros(0, K.U64))
+        self.tokens, self.at = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+
+    def add(self, hashes: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> None:
+        n, end = self.table.n, int(self.at[self.table.n])
+        while len(self.tokens) < end + len(tokens):
+            self.tokens = np.concatenate([self.tokens, np.zeros_like(self.tokens)])
+        while len(self.at) < n + len(first):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.tokens[end : end + len(tokens)] = tokens
+        self.at[n + 1 : n + len(first)] = end + first[1:]
+        self.table.extend(hashes)
+
+
+def known_words(d: np.ndarray, o: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(where words begin, the row of each in v.known), after the merges of those that are new."""
     starts, hashes = [], []
     for lo, hi, part, off in K.slices(d, o):
         if len(part):
@@ -193,26 +216,45 @@ def encode_chunk(d: np.ndarray, o: np.ndarray, v: Vocabulary) -> tuple[np.ndarra
             hashes.append(K.span_hash(K.prefix_hash(part), s, np.append(s[1:], len(part))))
             starts.append(s + o[lo])
     start, h = np.concatenate(starts), np.concatenate(hashes)
-    size = np.diff(np.append(start, len(d)))
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
-    n = size[one]
-    first = np.concatenate([[0], np.cumsum(n)])
-    laid = d[np.arange(first[-1]) + np.repeat(start[one] - first[:-1], n)]
-    tok, at = replay(v.byte_id[laid], first, v)
-    m = np.diff(at)[which]
+    if v.known is None or v.known.table.n > MAX_KNOWN:
+        v.known = Known()
+    row = v.known.table.find(h)
+    new = np.flatnonzero(row < 0)
+    if len(new):
+        fresh, one = np.unique(h[new], return_index=True)
+        one = new[one]
+        n = np.diff(np.append(start, len(d)))[one]
+        first = np.concatenate([[0], np.cumsum(n)])
+        laid = d[np.arange(first[-1]) + np.repeat(start[one] - first[:-1], n)]
+        v.known.add(fresh, *replay(v.byte_id[laid], first, v))
+        row[new] = v.known.table.find(h[new])
+    return start, row
+
+
+def encode_chunk(d: np.ndarray, o: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, first token of each document)."""
+    if not len(d):
+        return np.zeros(0, np.int32), np.zeros(len(o), np.int64)
+    start, row = known_words(d, o, v)
+    at = v.known.at
+    m = at[row + 1] - at[row]
     ends = np.cumsum(m)
-    out = tok[np.arange(ends[-1]) + np.repeat(at[:-1][which] - (ends - m), m)]
+    out = v.known.tokens[np.arange(ends[-1]) + np.repeat(at[row] - (ends - m), m)]
     return out, np.concatenate([[0], ends])[np.searchsorted(start, o)]
 
 
-def counts(texts: list[str], v: Vocabulary) -> np.ndarray:
+def counts(data: np.ndarray, off: np.ndarray, v: Vocabulary) -> np.ndarray:
     """Number of tokens of each text."""
-    raw = [x.encode() for x in texts]
-    off = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
-    data, out, lo = np.frombuffer(b"".join(raw), np.uint8), [np.zeros(0, np.int64)], 0
-    while lo < len(raw):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK_BYTES, "right")) - 1)
-        out.append(np.diff(encode_chunk(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], v)[1]))
+    out, lo, rows = [np.zeros(0, np.int64)], 0, len(off) - 1
+    while lo < rows:
+        hi = min(rows, max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK_BYTES, "right")) - 1))
+        d, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        if len(d):
+            start, row = known_words(d, o, v)
+            n = np.concatenate([[0], np.cumsum(v.known.at[row + 1] - v.known.at[row])])
+            out.append(np.diff(n[np.searchsorted(start, o)]))
+        else:
+            out.append(np.zeros(hi - lo, np.int64))
         lo = hi
     return np.concatenate(out)
 

@@ -188,20 +188,32 @@ class HashTable:
     """uint64 keys to row numbers by open addressing, with vectorised lookups."""
 
     def __init__(self, keys: np.ndarray):
-        self.n = len(keys)
-        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
+        self.n = 0
+        self._room(len(keys))
+        self.extend(keys)
+
+    def _room(self, n: int) -> None:
+        self.bits = max(4, int(2 * max(1, n) - 1).bit_length())
         self.keys = np.zeros(1 << self.bits, dtype=U64)
         self.rows = np.full(1 << self.bits, -1, dtype=np.int32)
-        rows, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
-        while len(rows):
+
+    def extend(self, keys: np.ndarray) -> None:
+        """Adds keys that aren't there; their rows follow those that are."""
+        if 2 * (self.n + len(keys)) > 1 << self.bits:
+            used = self.rows >= 0
+            old = np.zeros(self.n, U64)
+            old[self.rows[used]] = self.keys[used]
+            self._room(2 * (self.n + len(keys)))
+            self.n, keys = 0, np.concatenate([old, keys])
+        mine, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(mine):
             free = self.rows[slot] < 0
-            self.rows[slot[free]] = rows[free]
-            self.keys[slot[free]] = keys[rows[free]]
-            left = self.rows[slot] != rows
-            rows, slot = rows[left], (slot[left] + 1) & ((1 << self.bits) - 1)
-        # a slot's key and row must come from the same writer
-        used = self.rows >= 0
-        self.keys[used] = keys[self.rows[used]]
+            self.rows[slot[free]] = mine[free] + self.n
+            # a slot's key and row must come from the same writer
+            won = self.rows[slot] == mine + self.n
+            self.keys[slot[won]] = keys[mine[won]]
+            mine, slot = mine[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+        self.n += len(keys)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
@@ -239,7 +251,11 @@ class Lookup:
 
 
 def lower(arr: pa.Array) -> pa.Array:
-    return pc.utf8_lower(arr)
+    """In small letters; texts that aren't UTF-8, in ASCII's alone."""
+    try:
+        return pc.utf8_lower(arr)
+    except pa.ArrowInvalid:
+        return pc.ascii_lower(arr)
 
 
 def string_column(batch: pa.RecordBatch, name: str) -> pa.Array:

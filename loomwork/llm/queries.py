@@ -24,7 +24,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_tokens(documents(spark, sf_dir))
+    return packing.pack_tokens(documents(spark, sf_dir), Scratch(spark, "op4"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,3 +104,24 @@ def test_chunks_do_not_matter(vocabulary, spark, monkeypatch):
 def test_empty_table(spark):
     assert bpe.encode(nothing(spark)).count() == 0
     assert bpe.decode(bpe.encode(docs(spark, []))).count() == 0
+
+
+def test_bytes_that_are_not_utf8(spark):
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF62C3') AS string) AS text UNION ALL SELECT 2, 'fine \u00e9'")
+    got = {r.doc_id: r for r in bpe.encode(df).select("doc_id", "round_trip", "tokens").collect()}
+    assert got[1].round_trip and got[2].round_trip
+    v = bpe.Vocabulary()
+    assert v.decode(np.array(got[1].tokens)).tobytes() == b"a\xffb\xc3"
+
+
+def test_words_that_a_worker_knows_change_nothing(monkeypatch):
+    v = bpe.Vocabulary()
+    texts = ["the quick brown fox", "the lazy dog", "", "fox and dog and the rest", "x" * 300]
+    fresh = []
+    for t in texts:
+        v.known = None
+        fresh.append(bpe.encode_chunk(*K.flat(pa.array([t])), v)[0].tolist())
+    v.known = None
+    assert [bpe.encode_chunk(*K.flat(pa.array([t])), v)[0].tolist() for t in texts * 2] == fresh * 2
+    monkeypatch.setattr(bpe, "MAX_KNOWN", 3)
+    assert [bpe.encode_chunk(*K.flat(pa.array([t])), v)[0].tolist() for t in texts * 2] == fresh * 2
