@@ -40,7 +40,7 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows for training."""
-    return packing.pack_tokens(docs)
+    return packing.pack_tokens(docs, Scratch(spark, "packing"))
 
 
 STAGES: list[tuple[str, Stage]] = [
