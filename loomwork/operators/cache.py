@@ -6,6 +6,10 @@ the last: what was read from the last one can still be computed again.
 
 from __future__ import annotations
 
+import argparse
+import json
+import sys
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +45,7 @@ class AnswerCache:
 
     def __init__(self, spark: SparkSession, path: str, max_mb: int = 512):
         self.spark, self.path, self.max_bytes = spark, path.rstrip("/"), max_mb * 1_000_000
+        self.hits = self.misses = 0
 
     def _fs(self, *parts: str):  # noqa: ANN202
         p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
@@ -66,16 +71,42 @@ class AnswerCache:
         """Appends (key, value)."""
         fresh.select("key", "value", F.current_timestamp().alias("ts"), F.octet_length("value").cast("bigint").alias("bytes")).write.mode("append").option("compression", "zstd").parquet(self._current())
 
+    def count(self, answered: DataFrame) -> None:
+        """Counts the rows that the cache had an answer for, and the others, by their column hit."""
+        n = answered.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses")).first()
+        self.hits, self.misses = self.hits + n["hits"], self.misses + n["misses"]
+
     def stats(self) -> DataFrame:
-        return stats(self.table())
+        """One row: entries and bytes of the table, hits and misses since this object was made."""
+        return stats(self.table()).withColumns({"hits": F.lit(self.hits).cast("bigint"), "misses": F.lit(self.misses).cast("bigint")})
 
-    def compact(self) -> None:
-        """Rewrites the table without old versions and, newest first, within the size limit."""
+    def compact(self, max_bytes: int | None = None) -> None:
+        """Rewrites the table without old versions and, newest first, within the size limit (or another)."""
         have = self._generations()
         if not have:
             return
         made, fs = self._fs("writing")
-        prune(self.table(), self.max_bytes).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/writing")
+        prune(self.table(), self.max_bytes if max_bytes is None else max_bytes).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/writing")
         fs.rename(made, self._fs(f"gen-{have[-1] + 1}")[0])
         for old in have[:-1]:
             fs.delete(self._fs(f"gen-{old}")[0], True)
+
+
+def main(args: list[str], spark: SparkSession | None = None) -> int:
+    """Command line: statistics of a cache, or a cache made smaller."""
+    p = argparse.ArgumentParser(prog="python -m loomwork.operators.cache", description="Looks into a cache of answers, or prunes it.")
+    p.add_argument("path", help="the folder of the cache")
+    p.add_argument("--stats", action="store_true", help="print entries and bytes")
+    p.add_argument("--prune", type=int, metavar="MB", help="keep the newest entries within so many megabytes")
+    given = p.parse_args(args)
+    spark = spark or SparkSession.builder.appName("loomwork-cache").getOrCreate()
+    cache = AnswerCache(spark, given.path)
+    if given.prune is not None:
+        cache.compact(given.prune * 1_000_000)
+    if given.stats:
+        print(json.dumps(stats(cache.table()).first().asDict()))
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))

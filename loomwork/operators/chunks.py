@@ -9,8 +9,9 @@ from ..errors import ConfigError, SourceError
 from ..functions.conditions import query
 from ..functions.score import Scorer
 from ..functions.text import Splitter
+from .names import unused
 
-SEED, ID_BLOCK = 42, 100_000
+SEED, ID_BLOCK, MAX_BLOCKS = 42, 100_000, 1_000_000
 
 
 def need_column(df: DataFrame, name: str | None) -> str:
@@ -22,24 +23,41 @@ def need_column(df: DataFrame, name: str | None) -> str:
     return name
 
 
-def dense_ids(df: DataFrame, name: str, key: str, *then: str, block: int = ID_BLOCK) -> DataFrame:
+def blocks(df: DataFrame, name: str, key: str, block: int | None, bounds: DataFrame | None = None) -> DataFrame:
+    """df with a column `name` of block numbers, which ascend with the integer column `key` (nulls first).
+
+    A block is a range of `block` values or, where none is given, of ID_BLOCK
+    or more: of so many that there are at most MAX_BLOCKS, however far apart
+    the keys are. bounds: rows whose `key` has the same least and greatest value.
+    """
+    null = F.lit(-(1 << 63))
+    if block:
+        return df.withColumn(name, F.coalesce(F.floor(F.col(key) / F.lit(block)).cast("bigint"), null))
+    (width,) = unused(df.columns, "_width")
+    k = F.col(key).cast("double")
+    # one row
+    wide = (df if bounds is None else bounds).agg(F.greatest(F.lit(float(ID_BLOCK)), (F.max(k) - F.min(k)) / MAX_BLOCKS).alias(width))
+    return df.crossJoin(F.broadcast(wide)).withColumn(name, F.coalesce(F.floor(k / F.col(width)).cast("bigint"), null)).drop(width)
+
+
+def dense_ids(df: DataFrame, name: str, key: str, *then: str, block: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """df with a column of numbers 0, 1, 2 ... in the order of (key, *then); key is an integer.
 
     Two levels, so that no task sees all rows: rows are numbered within blocks
-    of `block` key values, and a block's offset is the running count of the
-    blocks before it (one row a block). It needs one shuffle of the rows.
+    of key values, and a block's offset is the running count of the blocks
+    before it (one row a block). It needs one shuffle of the rows.
     """
-    k = F.coalesce(F.floor(F.col(key) / F.lit(block)).cast("bigint"), F.lit(-(1 << 63)))
-    blocked = df.withColumn("_block", k)
-    counts = blocked.groupBy("_block").count()
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_block"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_block").orderBy(F.col(key).asc_nulls_first(), *then)
+    _block, _offset, _at = unused([*df.columns, name], "_block", "_offset", "_at")
+    blocked = blocks(df, _block, key, block, bounds)
+    counts = blocked.groupBy(_block).agg(F.count("*").alias(_at))
+    before = Window.orderBy(_block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(_block), F.coalesce(F.sum(_at).over(before), F.lit(0)).alias(_offset))
+    inside = Window.partitionBy(_block).orderBy(F.col(key).asc_nulls_first(), *then)
     return (
-        blocked.withColumn("_at", F.row_number().over(inside) - 1)
-        .join(offsets, "_block")
-        .withColumn(name, (F.col("_offset") + F.col("_at")).cast("bigint"))
-        .drop("_block", "_offset", "_at")
+        blocked.withColumn(_at, F.row_number().over(inside) - 1)
+        .join(offsets, _block)
+        .withColumn(name, (F.col(_offset) + F.col(_at)).cast("bigint"))
+        .drop(_block, _offset, _at)
     )
 
 
@@ -58,6 +76,9 @@ def chunk(
     record without a chunk keeps one row with a null chunk, unless drop_empty.
     """
     need_column(records, target)
+    clash = [c for c in records.columns if c != target and c.lower() in ("chunk", "pos", *["chunk_id"] * ids)]
+    if clash:
+        raise ConfigError(f"records have columns of the names that chunks get: {', '.join(clash)}", columns=clash)
     if splitter is None:
         if drop_target:
             raise ConfigError("the target column can only be dropped when it is split", column=target)
@@ -67,7 +88,7 @@ def chunk(
         explode = F.posexplode if drop_empty else F.posexplode_outer
         rest = [c for c in records.columns if not (drop_target and c == target)]
         out = records.select(*rest, explode(pieces).alias("pos", "chunk")).withColumn("pos", F.coalesce("pos", F.lit(0)))
-    return dense_ids(out, "chunk_id", record_id, "pos") if ids else out
+    return dense_ids(out, "chunk_id", record_id, "pos", bounds=records) if ids else out
 
 
 def score(chunks: DataFrame, scorer: Scorer | None) -> DataFrame:
@@ -90,7 +111,8 @@ def prepare(
 
 def batches(chunks: DataFrame, size: int, by: str = "chunk_id") -> DataFrame:
     """chunks with batch_id: runs of `size` rows in the order of `by`."""
-    return dense_ids(chunks, "_row", by).withColumn("batch_id", F.floor(F.col("_row") / size).cast("bigint")).drop("_row")
+    (row,) = unused([*chunks.columns, "batch_id"], "_row")
+    return dense_ids(chunks, row, by).withColumn("batch_id", F.floor(F.col(row) / size).cast("bigint")).drop(row)
 
 
 def sample_order(key: Column, seed: int = SEED) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..errors import ConfigError
 from ..functions.tokens import approx_tokens
 from ..spec import Spec
-from .chunks import sample
+from .chunks import blocks, sample
+from .names import unused
 from .prompts import SYSTEM, TEMPLATE, prompt
 
 # US dollars for a million tokens: provider, model, input, output
@@ -69,7 +70,7 @@ def call_tokens(chunk: Column, spec: Spec, template: str = TEMPLATE, system: str
     return count(F.concat(F.lit(system + "\n"), prompt(chunk, spec, template))) * attempts
 
 
-def budget_gate(calls: DataFrame, cost_column: str, budget: float | None, batch_size: int, order: str = "chunk_id", block: int = 100_000) -> DataFrame:
+def budget_gate(calls: DataFrame, cost_column: str, budget: float | None, batch_size: int, order: str = "chunk_id", block: int | None = None) -> DataFrame:
     """calls that are made or refused, when they are made one after another: `over` says that the cost of all before exceeds the budget.
 
     Once a batch starts over budget, it and all after it aren't there; in the
@@ -79,22 +80,29 @@ def budget_gate(calls: DataFrame, cost_column: str, budget: float | None, batch_
     """
     if budget is None:
         return calls.withColumn("over", F.lit(False))
-    k = F.floor(F.col(order) / block).cast("bigint")
-    blocked = calls.withColumn("_block", k)
-    sums = blocked.groupBy("_block").agg(F.sum(cost_column).alias("_sum"), F.count("*").alias("_n"))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"))
-    inside = Window.partitionBy("_block").orderBy(order)
+    own, n, s0, n0, row, before, start = unused([*calls.columns, "batch_id", "over"], "_block", "_n", "_s0", "_n0", "_row", "_before", "_start")
+    blocked = blocks(calls, own, order, block)
+    sums = blocked.groupBy(own).agg(F.sum(cost_column).alias(s0), F.count("*").alias(n))
+    earlier = Window.orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(own, F.coalesce(F.sum(s0).over(earlier), F.lit(0)).alias(s0), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n0))
+    inside = Window.partitionBy(own).orderBy(order)
     rows = (
-        blocked.join(offsets, "_block")
-        .withColumn("_row", F.col("_n0") + F.row_number().over(inside) - 1)
-        .withColumn("_before", F.col("_s0") + F.coalesce(F.sum(cost_column).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("batch_id", F.floor(F.col("_row") / batch_size).cast("bigint"))
+        blocked.join(offsets, own)
+        .withColumn(row, F.col(n0) + F.row_number().over(inside) - 1)
+        .withColumn(before, F.col(s0) + F.coalesce(F.sum(cost_column).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("batch_id", F.floor(F.col(row) / batch_size).cast("bigint"))
     )
     # costs aren't negative, so what is spent before a batch is the least of its rows
-    starts = rows.groupBy("batch_id").agg(F.min("_before").alias("_start")).where(F.col("_start") <= budget)
+    starts = rows.groupBy("batch_id").agg(F.min(before).alias(start)).where(F.col(start) <= budget)
     kept = rows.join(starts.select("batch_id"), "batch_id", "left_semi")
-    return kept.withColumn("over", F.col("_before") > budget).drop("_block", "_s0", "_n0", "_row", "_before")
+    return kept.withColumn("over", F.col(before) > budget).drop(own, s0, n0, row, before)
+
+
+def spent_before(batches: DataFrame, tokens_in: str, tokens_out: str, per_million: tuple[float, float]) -> DataFrame:
+    """(batch_id, cost, spent): what each batch of calls cost, in and out, and what all batches before it cost together. One row a batch."""
+    each = batches.groupBy("batch_id").agg(F.sum(cost(F.col(tokens_in), F.col(tokens_out), per_million)).alias("cost"))
+    earlier = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
+    return each.withColumn("spent", F.coalesce(F.sum("cost").over(earlier), F.lit(0.0)))
 
 
 def summary(calls: DataFrame, provider: str, model: str, per_million: tuple[float, float], tokens_in: str = "tokens_in", tokens_out: str = "tokens_out") -> DataFrame:

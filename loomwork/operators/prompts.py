@@ -28,7 +28,7 @@ def prompt(text: Column, spec: Spec, template: str = TEMPLATE, context: Mapping[
         parts = [F.concat(F.lit(f"## {n.upper()}\n"), prompt(text, s, template, context)) for n, s in spec.specs]
         return F.concat_ws("\n\n", *parts)
     if isinstance(spec, NestedSpec):
-        extra = "\n".join(f"{k}: {v}" for k, v in (context or {}).items())
+        extra = "\n".join(": ".join(map(str, pair)) for pair in (context or {}).items())
     else:
         extra = str(dict(context)) if context else ""
     fill = {"variables": F.lit(variables_text(spec)), "context": F.lit(extra), "text": text}

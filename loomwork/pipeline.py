@@ -17,12 +17,16 @@ from .operators import answers as A
 from .operators import chunks as C
 from .operators import costs, evaluation, extraction, results
 from .operators.cache import AnswerCache
+from .operators.names import unused
 from .operators.prompts import prompt
 from .sources.readers import load, with_record_ids
 from .sources.store import MemoryStore, Store
 from .spec import Spec
 
 
+WAVE = 1000
+
+
 class Pipeline:
     """A run of a configuration.
 
@@ -60,8 +64,6 @@ class Pipeline:
     def from_dict(cls, spark: SparkSession, d: Mapping[str, Any], answer: Callable[[str], object] | extraction.Rules, **how: Any) -> Pipeline:
         return cls(spark, Config.from_dict(d), answer, **how)
 
-    # -- steps -----------------------------------------------------------------
-
     def prep_data(self, source: DataFrame | str, sample_size: int = -1) -> DataFrame:
         """Chunks of the source, kept in the store; of a sample of its records, if 0 < sample_size < their number."""
         p = self.config.data_preprocessing
@@ -78,28 +80,43 @@ class Pipeline:
             raise ConfigError("preprocessed data has chunk and chunk_id", columns=chunks.columns)
         return chunks if "record_id" in chunks.columns else with_record_ids(chunks)
 
-    def process(self, path: str | None = None) -> DataFrame:
-        """Results for the chunks of the store (or of a table): extracted, extracted_json, errors, tokens, and the chunks' other columns."""
-        model, schema = self.config.llm_extraction, self.config.schema
+    def process(self, path: str | None = None, wave: int = WAVE) -> DataFrame:
+        """Results for the chunks of the store (or of a table): extracted, extracted_json, errors, tokens, and the chunks' other columns.
+
+        Batches are asked in waves of `wave`, each of which is saved before the
+        next begins, so a run that breaks off loses a wave at most; equal
+        prompts are asked once a wave, and with a cache once. A budget is held
+        against what was spent, on input, output and repeated attempts: no
+        wave begins beyond it, waves begin with one batch and are then of as
+        many as half of what is left pays for, and calls that their input
+        alone puts beyond it are refused.
+        """
+        model = self.config.llm_extraction
         chunks = self._preprocessed(load(self.spark, path, "chunk")) if path else self.store.load_chunks()
-        calls = C.batches(chunks, model.batch_size).withColumn("prompt", prompt(F.col("chunk"), self.spec, schema.prompt_template))
-        calls = calls.withColumn("key", extraction.cache_key(F.col("prompt"), schema.system_prompt, model.model, model.temperature))
-        calls = calls.withColumn("call_tokens", self.count(F.concat(F.lit(schema.system_prompt + "\n"), "prompt")))
-        calls = calls.withColumn("over", F.lit(False))
-        if model.max_budget is not None:  # what is known before asking is what a call takes in
-            priced = calls.drop("over", "batch_id").withColumn("_cost", F.coalesce("call_tokens", F.lit(0)) * F.lit(self.prices[0] / 1e6))
-            calls = costs.budget_gate(priced, "_cost", model.max_budget, model.batch_size).drop("_cost")
-        calls = self.store.keep(calls)
-        todo = calls.where("not over")
-        done = self.store.batches() if self.store.batch_ids() else None
-        if done is not None:  # what has been answered is known by its content, not by its place
-            todo = todo.join(done.select("chunk_id", "key"), ["chunk_id", "key"], "left_anti")
-        fresh = self._batch(self._answered(todo)).unionByName(self._batch(self._refused(calls)))
-        if done is not None:  # a batch is replaced as a whole, so its earlier rows come along
-            fresh = fresh.unionByName(self.store.keep(done.join(fresh.select("chunk_id"), "chunk_id", "left_anti")))
-        self.store.save_batches(self.store.keep(fresh))
+        calls = self.store.keep(self._calls(chunks))
+        current, todo, done = calls.select("chunk_id", "key"), calls, None
+        if self.store.batch_ids():  # what has been answered is known by its content, not by its place
+            done = self.store.keep(self.store.batches().join(current, ["chunk_id", "key"], "left_semi"))
+            todo = self.store.keep(calls.join(done.select("chunk_id", "key"), ["chunk_id", "key"], "left_anti"))
+        at, end = todo.agg(F.min("batch_id"), F.max("batch_id")).first()
+        if isinstance(self.answer, extraction.Rules) and model.max_budget is None:
+            wave = 1 << 62  # nothing is paid for
+        spent, tried, size = 0.0 if done is None else self._cost(done), 0, wave if model.max_budget is None else 1
+        before = spent
+        while at is not None and at <= end and (model.max_budget is None or spent <= model.max_budget):
+            part = todo.where(F.col("batch_id").between(at, min(end, at + size - 1)))
+            fresh = self._batch(self._answered(part.where("not over"))).unionByName(self._batch(self._refused(part)))
+            if done is not None:  # a batch is replaced as a whole, so its earlier rows come along
+                fresh = fresh.unionByName(done.join(part.select("batch_id").distinct(), "batch_id", "left_semi").select(fresh.columns))
+            fresh = self.store.keep(fresh)
+            self.store.save_batches(fresh)
+            at, tried = at + size, tried + size
+            if model.max_budget is not None:
+                spent = before + self._cost(self._of(todo))
+                each = (spent - before) / tried
+                size = max(1, min(wave, int((model.max_budget - spent) / 2 / each))) if each > 0 else wave
         try:
-            rows = self.store.batches()
+            rows = self.store.batches().join(current, ["chunk_id", "key"], "left_semi")
         except StoreError:  # nothing to ask
             rows = self._batch(self._refused(calls.limit(0)))
         table = results.with_metadata(rows.drop("key"), chunks.drop("chunk", "batch_id"))
@@ -109,6 +126,25 @@ class Pipeline:
         self.store.cleanup()
         return out
 
+    def _calls(self, chunks: DataFrame) -> DataFrame:
+        """chunks with prompt, key, tokens and whether their input alone is over budget."""
+        model, schema = self.config.llm_extraction, self.config.schema
+        calls = C.batches(chunks, model.batch_size).withColumn("prompt", prompt(F.col("chunk"), self.spec, schema.prompt_template))
+        calls = calls.withColumn("key", extraction.cache_key(F.col("prompt"), schema.system_prompt, model.model, model.temperature))
+        calls = calls.withColumn("call_tokens", self.count(F.concat(F.lit(schema.system_prompt + "\n"), "prompt")))
+        if model.max_budget is None:
+            return calls.withColumn("over", F.lit(False))
+        (price,) = unused([*calls.columns, "over"], "_cost")
+        priced = calls.drop("batch_id").withColumn(price, F.coalesce("call_tokens", F.lit(0)) * F.lit(self.prices[0] / 1e6))
+        return costs.budget_gate(priced, price, model.max_budget, model.batch_size).drop(price)
+
+    def _of(self, todo: DataFrame) -> DataFrame:
+        """Rows of the store's batches that answer what was to do."""
+        return self.store.batches().join(todo.select("chunk_id", "key"), ["chunk_id", "key"], "left_semi")
+
+    def _cost(self, rows: DataFrame) -> float:
+        return rows.agg(F.coalesce(F.sum(costs.cost(F.col("tokens_in"), F.col("tokens_out"), self.prices)), F.lit(0.0))).first()[0]
+
     def _answered(self, todo: DataFrame) -> DataFrame:
         if isinstance(self.answer, extraction.Rules):
             got = A.to_json(self.answer.column(F.col("chunk"), self.spec))
@@ -118,6 +154,7 @@ class Pipeline:
         cached = None if self.cache is None else self.store.keep(self.cache.read())
         out, fresh = extraction.answers(todo, ask, cached, self.store.keep)
         if self.cache is not None:
+            self.cache.count(out)
             self.cache.add(fresh)
             self.cache.compact()
         return out
@@ -138,8 +175,6 @@ class Pipeline:
         tokens_out = F.when(tracked & ~F.col("hit"), self.count(F.col("answer"))).otherwise(0)
         return results_columns(rows.withColumn("tokens_in", tokens_in.cast("bigint")).withColumn("tokens_out", F.coalesce(tokens_out, F.lit(0)).cast("bigint")))
 
-    # -- what came of it -----------------------------------------------------------
-
     def results(self) -> DataFrame:
         return self.store.results()
 

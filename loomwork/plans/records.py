@@ -20,7 +20,7 @@ def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
-# -- extraction --------------------------------------------------------------------
+# extraction
 
 MAIL = "[a-zA-Z0-9.]+@[a-zA-Z0-9.]+"
 FOUND = SimpleSpec((Variable("number", data_type="integer"), Variable("word"), Variable("mails", data_type="[string]")))
@@ -51,7 +51,7 @@ def rule_extract_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.explode(found, ADDRESSES)
 
 
-# -- reading answers -----------------------------------------------------------------
+# reading answers
 
 
 @query(f"SELECT event_id, {K} AS k FROM events")
@@ -75,13 +75,21 @@ def lax_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", A.read(F.col("answer"), LAX).alias("x"), A.read_error(F.col("answer"), LAX).alias("problem")).select("event_id", "x.n", "x.b", "x.i", "problem")
 
 
-@query("""SELECT event_id, '["root.label: missing"]' AS problems FROM events""")
+@query(f"""
+    SELECT event_id, CASE WHEN event_id % 4 = 1 THEN '["root.k: not a integer but STRING"]' WHEN event_id % 4 = 2 THEN '["root.label: missing"]' WHEN event_id % 4 = 3 THEN '["root.k: missing","root.label: missing"]' ELSE '[]' END AS problems FROM events
+""")
 def validate_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected answers that are right, of a wrong type, without a field and without any."""
     spec = SimpleSpec((Variable("k", data_type="integer", required=True), Variable("label", required=True)))
-    return table(spark, sf_dir, "events").select("event_id", F.to_json(A.problems(F.col("props"), spec)).alias("problems"))
+    i = F.col("event_id")
+    label = F.concat(F.lit(', "label": "'), "event_type", F.lit('"}'))
+    whole = F.concat(F.lit('{"k": '), _k(), label)
+    wrong = F.concat(F.lit('{"k": "'), "event_type", F.lit('"'), label)
+    made = F.when(i % 4 == 0, whole).when(i % 4 == 1, wrong).when(i % 4 == 2, F.concat(F.lit('{"k": '), _k(), F.lit("}"))).otherwise(F.lit("{}"))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(A.problems(made, spec)).alias("problems"))
 
 
-# -- cleaning ----------------------------------------------------------------------------
+# cleaning
 
 NOTED = SimpleSpec((Variable("kind", required=True), Variable("tags", data_type="[string]", allowed_values=("click", "error")), Variable("mention", validate_in_text=True)))
 
@@ -143,7 +151,7 @@ def explode_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.explode(rows, PARTS)
 
 
-# -- merging -------------------------------------------------------------------------------
+# merging
 
 
 @query("""
@@ -182,7 +190,7 @@ def merge_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("conv_id", F.array_join(F.transform("extracted.said", lambda x: F.concat(x["who"], F.lit(":"), x["size"])), " ").alias("said"))
 
 
-# -- joins ------------------------------------------------------------------------------------
+# joins
 
 
 @query("SELECT l.doc_id, l.quality, d.lang, d.source FROM labels l LEFT JOIN documents d USING (doc_id)")
@@ -202,7 +210,7 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-# -- evaluation -----------------------------------------------------------------------------------
+# evaluation
 
 JUDGED = SimpleSpec((Variable("quality", data_type="integer", required=True), Variable("toxic", data_type="integer")))
 _PREDICTED = "SELECT doc_id, CASE WHEN n_chars > 300 THEN 1 ELSE 0 END AS quality, CASE WHEN lang <> 'fr' THEN CASE WHEN contains(lower(text), 'ea') THEN 1 ELSE 0 END END AS toxic FROM documents"
@@ -235,7 +243,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.run_summary(rows.withColumn("errors", F.when(F.col("chunk").contains("@"), F.lit('["x"]'))))
 
 
-# -- the cache ----------------------------------------------------------------------------------------
+# the cache
 
 
 @query("""
@@ -272,3 +280,45 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest entries within a megabyte."""
     return cache.prune(_cache_table(spark, sf_dir), 1_000_000).select("key", "bytes")
+
+
+_HITS = "SELECT lang = 'en' AS hit, sha256(text) AS key, text FROM documents"
+
+
+@query(f"WITH d AS ({_HITS}), h AS (SELECT DISTINCT key FROM d WHERE hit) SELECT count(DISTINCT key) AS entries, CAST((SELECT sum(b) FROM (SELECT DISTINCT key, strlen(text) AS b FROM d)) AS BIGINT) AS bytes, count(*) FILTER (key IN (SELECT key FROM h)) AS hits, count(*) FILTER (key NOT IN (SELECT key FROM h)) AS misses FROM d")
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of English texts are in the cache; hits and misses of asking all, and what is there afterwards."""
+    folder = shared_folder(spark, "cache-hits")
+    kept = cache.AnswerCache(spark, folder + "/cache", 10_000)
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("key"), F.col("text").alias("prompt"), "lang")
+    kept.add(docs.where("lang = 'en'").groupBy("key").agg(F.first("prompt").alias("value")))
+    ask = lambda df: df.select("key", F.col("prompt").alias("answer"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts"))
+    answered, fresh = extraction.answers(docs, ask, kept.read(), Store(spark, folder).keep)
+    kept.count(answered)
+    kept.add(fresh)
+    kept.compact()
+    return kept.stats()
+
+
+BOTH = MultipleSpec((("turn", SimpleSpec((Variable("role"),))), ("said", NestedSpec((Variable("size", data_type="integer"),), "list"))))
+
+
+@query("""
+    WITH c AS (SELECT conv_id, role, count(*) AS n, min(turn) AS f FROM conversations GROUP BY ALL),
+    r AS (SELECT conv_id, role FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) = 1)
+    SELECT conv_id, any_value(r.role) AS role, string_agg(length(text)::VARCHAR, ' ' ORDER BY turn) AS sizes FROM conversations JOIN r USING (conv_id) GROUP BY conv_id
+""")
+def merge_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct(F.array(F.struct(F.length("text").cast("bigint").alias("size"))).alias("list"))
+    answer = F.struct(F.struct("role").alias("turn"), item.alias("said"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("extracted"))
+    merged = results.merge(rows, BOTH, by="conv_id", order="turn")
+    return merged.select("conv_id", "extracted.turn.role", F.array_join(F.transform("extracted.said.list", lambda x: x["size"].cast("string")), " ").alias("sizes"))
+
+
+@query("""SELECT event_id, '{"a":' || user_id || ',"b":{"c":["' || event_type || '"],"d":null}}' AS json FROM events""")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in order at every depth."""
+    inner = F.struct(F.lit(None).cast("string").alias("d"), F.array("event_type").alias("c"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.struct(inner.alias("b"), F.col("user_id").alias("a")).alias("x"))
+    return rows.select("event_id", results.canonical_json(F.col("x"), rows.schema["x"].dataType).alias("json"))

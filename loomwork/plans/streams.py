@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions.score import KeywordScorer
 from ..functions.text import RegexSplit
-from ..sources.store import shared_folder
+from ..operators.cache import AnswerCache
+from ..sources.store import Store, shared_folder
 from .registry import KEYWORDS, LINES, any_keyword, query, table
 
 
@@ -47,3 +48,27 @@ def stream_distinct_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stream(spark, sf_dir, "documents").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     out = streaming.run_to_table(streaming.distinct_chunks(docs, "ts", column="text").select("doc_id"), shared_folder(spark, "distinct-texts"))
     return out.agg(F.count("*").alias("chunks"))
+
+
+@query("""
+    WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM n GROUP BY user_id, session
+""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users that end with half an hour without an event."""
+    events = stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = streaming.session_counts(events, "ts", ["user_id"], late="3650 days")
+    out = streaming.run_to_table(counts, shared_folder(spark, "sessions"), "complete")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("SELECT conv_id, turn, lower(text) AS answer FROM conversations")
+def stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of a stream, answered in micro-batches through the cache."""
+    folder = shared_folder(spark, "stream-extract")
+    prompts = stream(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("key"), F.col("text").alias("prompt"))
+    ask = lambda df: df.select("key", F.lower("prompt").alias("answer"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts"))
+    writer = streaming.extract(prompts, ask, AnswerCache(spark, folder + "/cache"), Store(spark, folder).keep, lambda df: df.select("conv_id", "turn", "answer"), folder + "/rows", folder + "/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(folder + "/rows").select("conv_id", "turn", "answer")

@@ -56,3 +56,56 @@ def outer_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("k"))
     both = nations.join(count("customer", "c_nationkey", "customers"), "k", "full").join(count("supplier", "s_nationkey", "suppliers"), "k", "full")
     return both.groupBy("n_name").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("customers", "suppliers")])
+
+
+@query("""
+    SELECT 'union' AS what, key, count(*) AS n FROM (SELECT c_nationkey AS key FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY key
+    UNION ALL SELECT 'intersect', key, count(*) FROM (SELECT c_nationkey AS key FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier) GROUP BY key
+    UNION ALL SELECT 'except', key, count(*) FROM (SELECT c_nationkey AS key FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) GROUP BY key
+""")
+def set_operations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With repetitions."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"))
+    counted = lambda df, what: df.groupBy("key").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "key", "n")
+    return counted(a.unionAll(b), "union").union(counted(a.intersectAll(b), "intersect")).union(counted(a.exceptAll(b), "except"))
+
+
+@query("SELECT c_mktsegment, c_nationkey, count(*) AS n, CAST(round(sum(c_acctbal), 2) AS DOUBLE) AS balance FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
+def grouping_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").rollup("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("SELECT event_type, true AS near_distinct, true AS near_median, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def approximate_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches are within 5 % of the exact values (2 % of ranks for the median)."""
+    events = table(spark, sf_dir, "events")
+    out = events.groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("a"), F.percentile_approx("value", 0.5, 1000).alias("m"),
+        F.percentile("value", 0.48).alias("lo"), F.percentile("value", 0.52).alias("hi"),
+    )
+    return out.select("event_type", (F.abs(F.col("a") - F.col("users")) <= 0.05 * F.col("users") + 1).alias("near_distinct"), F.col("m").between(F.col("lo"), F.col("hi")).alias("near_median"), "users")
+
+
+@query("""
+    SELECT l.event_id, r.event_id AS last_error FROM (SELECT * FROM events WHERE event_type = 'purchase') l
+    ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'error') r ON l.user_id = r.user_id AND l.ts >= r.ts
+""")
+def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase the last error of its user up to then, without a join: both sides go through one window over the user's events."""
+    events = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'error')")
+    error = F.when(F.col("event_type") == "error", F.col("event_id"))
+    w = Window.partitionBy("user_id").orderBy("ts", (F.col("event_type") != "error")).rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("last_error", F.last(error, ignorenulls=True).over(w)).where("event_type = 'purchase'").select("event_id", "last_error")
+
+
+@query("""
+    SELECT n_name, count(*) AS richer FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > c_acctbal GROUP BY n_name
+""")
+def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a nation's customers and richer suppliers: an equality carries the inequality."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), "c_acctbal")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), "s_acctbal")
+    pairs = customers.join(suppliers, "k").where("s_acctbal > c_acctbal").groupBy("k").agg(F.count("*").alias("richer"))
+    nations = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("k"))
+    return pairs.join(nations, "k").select("n_name", "richer")

@@ -14,7 +14,7 @@ from ..operators import chunks as C
 from ..operators import costs, keywords
 from ..operators.extraction import cache_key
 from ..operators.prompts import SYSTEM, TEMPLATE, prompt
-from ..spec import SimpleSpec, Variable, variables_text
+from ..spec import MultipleSpec, SimpleSpec, Variable, variables_text
 from .registry import KEYWORDS, LINES, STRIPPED, any_keyword, literal, query, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -25,7 +25,7 @@ def lines(spark: SparkSession, sf_dir: str, ids: bool = False) -> DataFrame:
     return C.chunk(table(spark, sf_dir, "documents"), "text", RegexSplit("\n"), drop_target=True, drop_empty=True, record_id="doc_id", ids=ids)
 
 
-# -- splitting -------------------------------------------------------------------
+# splitting
 
 
 @query(f"WITH {LINES} SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS docs FROM c WHERE {any_keyword('chunk')} GROUP BY lang")
@@ -89,7 +89,7 @@ def whole_text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.score(out, KeywordScorer(KEYWORDS)).select("doc_id", "chunk", (F.col("score") == 1).alias("hit"))
 
 
-# -- ids, filters, samples -----------------------------------------------------------
+# ids, filters, samples
 
 
 @query(f"WITH {LINES} SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS chunk_id, doc_id, pos FROM c")
@@ -141,7 +141,7 @@ def collapse_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.to_json("role").alias("roles"), F.col("role_only").alias("only_role"))
 
 
-# -- prompts, tokens, costs ------------------------------------------------------------
+# prompts, tokens, costs
 
 _FRONT, _BACK = (literal(p) for p in TEMPLATE.replace("{variables}", variables_text(SPEC)).split("{text}"))
 _TOKENS = "CAST(ceil(length(text) / 4.0) AS BIGINT)"
@@ -152,6 +152,17 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(prompt(F.col("text"), SPEC), 256).alias("prompt_sha"))
 
 
+WHO = SimpleSpec((Variable("name", "who it is"),))
+_SECOND, _REST = (literal(p) for p in TEMPLATE.replace("{variables}", variables_text(WHO)).split("{text}"))
+
+
+@query(f"SELECT conv_id, turn, sha256('## PLACE' || chr(10) || {_FRONT} || text || {_BACK} || chr(10) || chr(10) || '## WHO' || chr(10) || {_SECOND} || text || {_REST}) AS prompt_sha FROM conversations")
+def prompt_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of several specs in one prompt, each under its name."""
+    both = MultipleSpec((("place", SPEC), ("who", WHO)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(prompt(F.col("text"), both), 256).alias("prompt_sha"))
+
+
 @query(f"""
     SELECT doc_id, sha256('{{"model":"openai/gpt-4o-mini","prompt":' || CAST(to_json(text) AS VARCHAR) || ',"system":' || CAST(to_json({literal(SYSTEM)}) AS VARCHAR) || ',"temperature":0.0}}') AS key FROM documents
 """)
@@ -231,7 +242,7 @@ def exact_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", exact_tokens(F.col("text"), TOKENIZER).alias("tokens"))
 
 
-# -- fuzzy scores, HTML ---------------------------------------------------------------------
+# fuzzy scores, HTML
 
 
 @query()
@@ -247,7 +258,7 @@ def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
-# -- keyword discovery ------------------------------------------------------------------------
+# keyword discovery
 
 _STOP = ", ".join(literal(w) for w in keywords.STOP_WORDS)
 
@@ -286,3 +297,10 @@ def coverage_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What share of English lines the first n keywords find, and what share of tokens they spare."""
     out = keywords.coverage(lines(spark, sf_dir), list(SWEEP), F.col("lang") == "en", approx_tokens(F.col("chunk")))
     return out.select("keywords", "selected", F.round("coverage", 6).alias("coverage"), F.round("saving", 6).alias("saving"))
+
+
+@query()
+def coverage_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage against cost for 0 to 100 keywords that the train part gives, on both parts: no SQL, since the keywords are found first."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return keywords.sweep(table(spark, sf_dir, "documents"), labels, "doc_id", "text", approx_tokens(F.col("text")))

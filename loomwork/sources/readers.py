@@ -73,7 +73,7 @@ def suffixes(spark: SparkSession, path: str) -> tuple[set[str], bool]:
     return found, True
 
 
-# -- texts -------------------------------------------------------------------
+# texts
 
 
 def _whole(suffix: str) -> Read:
@@ -113,7 +113,7 @@ def _no_pdf(raw: bytes) -> str:
     raise MissingDependency("reading .pdf needs a converter: register_converter('.pdf', function from bytes to text)")
 
 
-# -- tables ------------------------------------------------------------------
+# tables
 
 
 def _csv(spark: SparkSession, path: str, folder: bool) -> DataFrame:

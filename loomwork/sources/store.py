@@ -1,13 +1,14 @@
 """Where a run keeps its chunks, batches, results and state.
 
 A Store is a folder that all executors share, of Parquet tables and two JSON
-files; a MemoryStore has the same methods over persisted DataFrames. A batch is
-a partition of one table, so writing it again replaces it, and which batches
+files; a MemoryStore is one that goes with its driver. A batch is a partition
+of one table, so writing it again replaces it, and which batches
 exist is read off folder names.
 """
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 from collections.abc import Mapping
@@ -20,8 +21,12 @@ from ..errors import StoreError
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder name in the place that the cluster names for shared files; below the warehouse where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """A new folder name in the place that the cluster names for shared files; below the warehouse where a session of one machine names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise StoreError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{base.rstrip('/')}/loomwork-{what}-{uuid.uuid4().hex}"
 
 
@@ -61,7 +66,7 @@ class Store:
     def _read_json(self, name: str) -> Any:
         return json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]) if self._exists(name) else None
 
-    # -- the run ---------------------------------------------------------------
+    # the run
 
     def initialise(self, config: Mapping[str, Any], spec: Mapping[str, Any], overwrite: bool = False, resume: bool = False) -> None:
         """Makes the folder ready. One that exists is an error, unless it is overwritten, or resumed: then it must not be completed, and config and spec must be what they were."""
@@ -85,7 +90,7 @@ class Store:
     def is_completed(self, name: str = "results") -> bool:
         return self._exists(name, "_SUCCESS")
 
-    # -- tables ----------------------------------------------------------------
+    # tables
 
     def _save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
@@ -112,7 +117,7 @@ class Store:
     def results(self, name: str = "results") -> DataFrame:
         return self._load(name)
 
-    # -- batches -----------------------------------------------------------------
+    # batches
 
     def save_batches(self, rows: DataFrame) -> None:
         """Rows with batch_id; each batch that they have is replaced. Rows of a batch are brought together, so that it is one file."""
@@ -148,7 +153,7 @@ class Store:
         self._delete("kept")
         return self._delete("batches")
 
-    # -- state -------------------------------------------------------------------
+    # state
 
     def save_state(self, state: Mapping[str, Any]) -> None:
         self._write_json("state.json", dict(state))
@@ -158,66 +163,23 @@ class Store:
 
 
 class MemoryStore(Store):
-    """The same without a folder: DataFrames persisted on the executors, which recompute what they lose."""
+    """A run that leaves nothing behind: a Store in a folder of its own below the shared one, which goes when the driver ends. It can be neither overwritten nor resumed.
+
+    Tables aren't held by executors alone, since what was asked and paid for would be asked again for those that are lost.
+    """
 
     def __init__(self, spark: SparkSession):
-        super().__init__(spark, "memory:")
-        self.tables: dict[str, DataFrame] = {}
-        self.values: dict[str, Any] = {}
+        super().__init__(spark, shared_folder(spark, "memory"))
+        atexit.register(self.close)
 
     def initialise(self, config: Mapping[str, Any], spec: Mapping[str, Any], overwrite: bool = False, resume: bool = False) -> None:
         if overwrite or resume:
             raise StoreError("a run in memory can be neither overwritten nor resumed")
-        self.values["run.json"] = {"config": dict(config), "spec": dict(spec)}
-
-    def is_completed(self, name: str = "results") -> bool:
-        return name in self.tables
-
-    def _save(self, df: DataFrame, name: str) -> DataFrame:
-        if (old := self.tables.get(name)) is not None and old is not df:
-            old.unpersist()
-        self.tables[name] = df.persist()
-        self.tables[name].count()  # now, since what it is made of may change
-        return self.tables[name]
-
-    def _load(self, name: str) -> DataFrame:
-        if name not in self.tables:
-            raise StoreError(f"no {name} in memory", table=name)
-        return self.tables[name]
-
-    def _write_json(self, name: str, value: Any) -> None:
-        self.values[name] = value
-
-    def _read_json(self, name: str) -> Any:
-        return self.values.get(name)
-
-    def save_batches(self, rows: DataFrame) -> None:
-        fresh = rows.persist()
-        old = self.tables.get("batches")
-        if old is not None:
-            fresh = old.join(fresh.select("batch_id").distinct(), "batch_id", "left_anti").unionByName(fresh).persist()
-        fresh.count()
-        self.tables["batches"] = fresh
-
-    def batch_path(self, batch_id: int) -> str:
-        return f"memory:batch-{batch_id}"
-
-    def batch_ids(self) -> list[int]:
-        df = self.tables.get("batches")
-        return [] if df is None else sorted(r[0] for r in df.select("batch_id").distinct().collect())
-
-    def batches(self) -> DataFrame:
-        if "batches" not in self.tables:
-            raise StoreError("no batch in memory")
-        return self.tables["batches"]
-
-    def delete_batch(self, batch_id: int) -> bool:
-        if batch_id not in self.batch_ids():
-            return False
-        self.tables["batches"] = self.tables["batches"].where(F.col("batch_id") != batch_id).persist()
-        return True
+        super().initialise(config, spec)
 
-    def cleanup(self) -> bool:
-        for name in [n for n in self.tables if n == "batches" or n.startswith("kept/")]:
-            self.tables.pop(name).unpersist()
-        return True
+    def close(self) -> None:
+        """Deletes the folder, if the session is still there."""
+        try:
+            self._delete()
+        except Exception:  # noqa: BLE001 - it has ended
+            return

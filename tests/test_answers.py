@@ -118,7 +118,7 @@ def test_prompts(spark):
     assert multi == "## ONE\nt|{'k': 1}\n\n## TWO\nt|{'k': 1}"
 
 
-# -- exploding and merging -----------------------------------------------------------
+# exploding and merging
 
 
 def test_explode(spark):
@@ -168,7 +168,7 @@ def test_canonical_json(spark):
     assert df.select(results.canonical_json(F.col("x"), kind)).first()[0] == '{"a":[{"c":null,"d":2}],"b":1}'
 
 
-# -- evaluation ------------------------------------------------------------------------
+# evaluation
 
 
 def plain_counts(pairs: list[tuple[dict, dict]]) -> dict[str, list[int]]:
@@ -219,7 +219,7 @@ def test_metrics_of_scalars(spark):
     assert got == {"need": (1, 1, 1), "may": (1, 0, 1), "tags": (1, 1, 1)}
 
 
-# -- query strings -----------------------------------------------------------------------
+# query strings
 
 QUERIES = ["a > 1", "a != 2", "a in [1, 3]", "a not in [1, 3]", "0 < a <= 2 and s == 'x'", "(a == 1) | ~(s == 'x')", "not a > 1", "a + 1 >= 3", "`b c` < 2", "s == 'x & y | z'", "a % 2 == 1", "a == [1, 2]", "a * -1 < -1"]
 

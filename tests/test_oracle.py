@@ -34,7 +34,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_queries_without_sql_are_known():
-    assert set(plans.QUERIES) - set(plans.ORACLE_SQL) == {"exact_token_counts", "fuzzy_scores", "html_texts"}
+    assert set(plans.QUERIES) - set(plans.ORACLE_SQL) == {"exact_token_counts", "fuzzy_scores", "html_texts", "coverage_curve"}
 
 
 @pytest.mark.parametrize("name", ["exact_token_counts", "fuzzy_scores", "html_texts"])

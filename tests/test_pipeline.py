@@ -156,7 +156,7 @@ def test_unknown_prices(spark):
     assert costs.price("X", "y", (1.0, 2.0)) == (1.0, 2.0)
 
 
-# -- pieces ------------------------------------------------------------------------------
+# pieces
 
 
 def test_retry_waits_longer_each_time():
@@ -225,7 +225,7 @@ def test_coverage_is_that_of_each_list(spark):
         assert got[n].saving == pytest.approx(1 - sum(r[2] for r in hit) / sum(r[2] for r in rows))
 
 
-# -- streams -----------------------------------------------------------------------------------
+# streams
 
 
 def stream_of(spark, tmp_path, batches, schema):
@@ -272,7 +272,7 @@ def test_streamed_extraction_uses_the_cache(spark, tmp_path):
     assert got.count() == 4 and got.where("hit").count() == 1
 
 
-# -- plans -------------------------------------------------------------------------------------
+# plans
 
 
 def plan_of(df) -> str:

@@ -150,7 +150,7 @@ def test_data_frames_are_sources(spark):
         readers.load(spark, df, "x")
 
 
-# -- chunks -------------------------------------------------------------------------
+# chunks
 
 
 def test_chunks(spark):
@@ -176,7 +176,7 @@ def test_dense_ids_over_blocks(spark):
     assert [r.n for r in got] == list(range(40))
 
 
-# -- store ----------------------------------------------------------------------------
+# store
 
 
 @pytest.fixture(params=["folder", "memory"])
@@ -228,7 +228,7 @@ def test_differences():
     assert differences({"a": {"b": 1, "c": [1]}, "d": 1}, {"a": {"b": 2, "c": [1]}, "e": 1}) == ["a.b", "d", "e"]
 
 
-# -- configurations -----------------------------------------------------------------------
+# configurations
 
 
 def test_configuration(tmp_path):
