@@ -25,8 +25,16 @@ patterns that are confident at the end are few (their number follows the
 kinds of identifiers, not the documents); they are broadcast up to
 MAX_BROADCAST_PATTERNS, beyond which spans are found by a join.
 
+A pattern is an abstraction, so it may abbreviate: a form of more than 24 runs
+is its first 24 and its length, a coarse form its first 24 signs, a right
+neighbour its first 16. Words of letters alone that follow no label are no
+candidates: nothing tells them from other words.
+
 Defined results for odd input: null and empty texts hold nothing and stay as
-they are; doc_id may be null or repeated; an empty table gives an empty
+they are; very long texts and tokens are searched whole; doc_id may be null or
+repeated, but rows that are the same altogether have their identifiers told
+once; of kinds of equal score (to nine digits) the least by name is taken, of
+rules that match the same place the first; an empty table gives an empty
 result; other columns are kept by redact and ignored by find.
 """
 
@@ -37,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -216,7 +224,12 @@ def candidates(d: np.ndarray, o: np.ndarray) -> Iterator[tuple[int, int, int, st
         i = j + 1
 
 
-_SCHEMA = "key bigint, doc_id bigint, start int, end int, value string, seed string, patterns array<string>"
+_SCHEMA = "key struct<a:bigint,b:bigint>, doc_id bigint, start int, end int, value string, seed string, patterns array<string>"
+
+
+def _key(text: str | Column) -> Column:
+    """128 bits that name a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -243,7 +256,12 @@ def scan(docs: DataFrame) -> DataFrame:
                     names=["key", "doc_id", "start", "end", "value", "seed", "patterns"],
                 )
 
-    return docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").mapInArrow(run, _SCHEMA)
+    return docs.select(_key("text").alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").mapInArrow(run, _SCHEMA)
+
+
+def _best(score: str):  # noqa: ANN202
+    """Column of which the least is the best: the greatest score, of equals the least kind."""
+    return F.struct((-F.round(score, 9)).alias("less"), "kind")
 
 
 def bootstrap(found: DataFrame, scratch: Scratch, turns: int = TURNS, support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
@@ -257,7 +275,7 @@ def bootstrap(found: DataFrame, scratch: Scratch, turns: int = TURNS, support: i
     for turn in range(turns):
         known = scratch.save(known)
         mass = links.join(known, "value").groupBy("pattern", "kind").agg(F.sum("mass").alias("mass"), F.count("*").alias("n"))
-        total = mass.groupBy("pattern").agg(F.sum("mass").alias("all"), F.max(F.when(F.col("kind") != "NONE", F.struct("mass", "kind", "n"))).alias("top"))
+        total = mass.groupBy("pattern").agg(F.sum("mass").alias("all"), F.min(F.when(F.col("kind") != "NONE", F.struct((-F.round("mass", 9)).alias("less"), "kind", "n", "mass"))).alias("top"))
         confident = scratch.save(
             total.where(F.col("top.n") >= support)
             .select("pattern", "top.kind", (F.col("top.mass") / (F.col("all") + 0.5)).alias("confidence"))
@@ -270,8 +288,8 @@ def bootstrap(found: DataFrame, scratch: Scratch, turns: int = TURNS, support: i
                 .groupBy("value", "kind")
                 .agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))))).alias("mass"))
                 .groupBy("value")
-                .agg(F.max(F.struct("mass", "kind")).alias("x"))
-                .select("value", "x.kind", "x.mass")
+                .agg(F.min(_best("mass")).alias("x"))
+                .select("value", "x.kind", (-F.col("x.less")).alias("mass"))
                 .where(F.col("mass") >= accept)
             )
             known = known.unionByName(fresh)
@@ -291,8 +309,8 @@ def decide(kind: str | None, names: list[str], confident: dict[str, tuple[str, f
             miss[k] = miss.get(k, 1.0) * (1 - c)
     if not miss:
         return None
-    k = min(miss, key=lambda x: (miss[x], x))
-    return (k, 1 - miss[k]) if 1 - miss[k] >= accept else None
+    less, k = min((-round(1 - m, 9), k) for k, m in miss.items())
+    return (k, -less) if -less >= accept else None
 
 
 def _spans(found: DataFrame, confident: DataFrame, accept: float) -> DataFrame:
@@ -306,8 +324,8 @@ def _spans(found: DataFrame, confident: DataFrame, accept: float) -> DataFrame:
         .groupBy("row", "kind")
         .agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))))).alias("score"))
         .groupBy("row")
-        .agg(F.max(F.struct("score", "kind")).alias("x"))
-        .select("row", "x.kind", "x.score")
+        .agg(F.min(_best("score")).alias("x"))
+        .select("row", "x.kind", (-F.col("x.less")).alias("score"))
         .where(F.col("score") >= accept)
     )
     return sure.unionByName(rest).select("row.*", "kind", F.round("score", 6).alias("score")).distinct()
@@ -339,7 +357,7 @@ def redact(docs: DataFrame, scratch: Scratch, accept: float = ACCEPT) -> DataFra
     at = names.index("text")
     if confident.count() > MAX_BROADCAST_PATTERNS:
         spans = _spans(found, confident, accept).groupBy("key").agg(F.collect_set(F.struct("start", "end", "kind")).alias("_spans"))
-        joined = docs.join(spans, F.xxhash64(docs["text"]) == spans["key"], "left").select(*[docs[c] for c in names], spans["_spans"].alias(unused("_spans", names)))
+        joined = docs.join(spans, _key(docs["text"]) == spans["key"], "left").select(*[docs[c] for c in names], spans["_spans"].alias(unused("_spans", names)))
 
         def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

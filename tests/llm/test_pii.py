@@ -160,7 +160,7 @@ def test_only_small_numerals_are_counter_examples():
 def test_confidence_is_by_mass(spark):
     """A pattern that counter-examples share isn't confident."""
     rows = [(f"v{i}", "CARD" if i < 5 else "NONE", ["form x"]) for i in range(10)] + [(f"u{i}", "CARD", ["form y"]) for i in range(9)]
-    found = spark.createDataFrame([(0, 0, 0, 1, v, k, p) for v, k, p in rows], pii._SCHEMA)
+    found = spark.createDataFrame([((0, 0), 0, 0, 1, v, k, p) for v, k, p in rows], pii._SCHEMA)
     got = {r.pattern: r for r in pii.bootstrap(found, Scratch(spark, "t")).collect()}
     assert list(got) == ["form y"] and got["form y"].confidence == pytest.approx(9 / 9.5)
 
@@ -180,3 +180,66 @@ def test_awkward_rows(spark, monkeypatch):
 def test_empty_table(spark):
     assert pii.find(nothing(spark), Scratch(spark, "t")).count() == 0
     assert pii.redact(nothing(spark), Scratch(spark, "t")).count() == 0
+
+
+def test_ties_go_to_the_least_kind_everywhere(spark):
+    """What decide() says of a candidate is what the join says, at equal scores too."""
+    names = ["p", "q", "r"]
+    confident = {"p": ("PHONE", 0.9), "q": ("CARD", 0.9), "r": ("IP", 0.85)}
+    rows = [((1, 1), 5, i, i + 1, f"v{i}", None, sub) for i, sub in enumerate([["p", "q"], ["q", "r"], ["p"], ["r", "p", "q"], ["r"], ["x"]])]
+    found = spark.createDataFrame(rows, pii._SCHEMA)
+    table = spark.createDataFrame([(k, *v) for k, v in confident.items()], "pattern string, kind string, confidence double")
+    got = {r.start: (r.kind, round(r.score, 6)) for r in pii._spans(found, table, 0.8).collect()}
+    want = {r[2]: pii.decide(None, r[6], confident, 0.8) for r in rows}
+    assert got == {i: (k[0], round(k[1], 6)) for i, k in want.items() if k} and got[0][0] == "CARD" and names
+
+
+def plain_bootstrap(found, turns, support, accept):
+    """The pattern-instance graph in plain Python."""
+    links = {(p, r["value"]) for r in found for p in r["patterns"]}
+    seeds: dict = {}
+    for r in found:
+        if r["patterns"]:
+            seeds.setdefault(r["value"], set()).add(r["seed"])
+    known = {}
+    for v, kinds in seeds.items():
+        named = sorted(k for k in kinds if k not in (None, "NONE"))
+        if named or "NONE" in kinds:
+            known[v] = (named[-1] if named else "NONE", 1.0)
+    confident: dict = {}
+    for turn in range(turns):
+        mass: dict = {}
+        for p, v in links:
+            if v in known:
+                k, m = known[v]
+                total, n = mass.setdefault(p, {}).get(k, (0.0, 0))
+                mass[p][k] = (total + m, n + 1)
+        confident = {}
+        for p, kinds in mass.items():
+            named = [(-round(m, 9), k, n, m) for k, (m, n) in kinds.items() if k != "NONE"]
+            if named:
+                _, k, n, m = min(named)
+                c = m / (sum(x for x, _ in kinds.values()) + 0.5)
+                if n >= support and c >= accept:
+                    confident[p] = (k, c)
+        if turn + 1 < turns:
+            miss: dict = {}
+            for p, v in links:
+                if p in confident and v not in known:
+                    k, c = confident[p]
+                    miss.setdefault(v, {})[k] = miss.get(v, {}).get(k, 1.0) * (1 - min(c, 1 - 1e-9))
+            for v, kinds in miss.items():
+                less, k = min((-round(1 - m, 9), k) for k, m in kinds.items())
+                if -less >= accept:
+                    known[v] = (k, -less)
+    return confident
+
+
+def test_the_graph_is_scored_as_in_plain_python(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scratch = Scratch(spark, "t")
+    found = scratch.save(pii.scan(rows))
+    got = {r.pattern: (r.kind, r.confidence) for r in pii.bootstrap(found, scratch).collect()}
+    want = plain_bootstrap([r.asDict() for r in found.collect()], pii.TURNS, pii.SUPPORT, pii.ACCEPT)
+    assert got.keys() == want.keys() and len(want) >= 3
+    assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-6 for p in want)
