@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the docs of the next one. All but the
-last return the columns of documents.
+last return the columns of documents, whatever they are besides doc_id and
+text, and of whatever names.
+
+For all stages: an empty table gives an empty one; rows that repeat a doc_id
+are rows of their own; very long texts are taken whole; a null in a column
+other than doc_id and text changes nothing.
 """
 
 from __future__ import annotations
@@ -18,28 +23,28 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of low quality and toxic ones go."""
+    """Documents of low quality and toxic ones go. A null, empty or blank text stays, since nothing says that it is bad, and so does one whose score is just the threshold; without labels of both classes nothing goes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of like lines, the first stays; a document that has none left goes."""
+    """Of like lines, the first by (doc_id, line) stays, a null doc_id before all others; a document that has none left goes. Null, empty and blank texts stay; rows that repeat a doc_id and a line fare alike."""
     return lines.drop_duplicate_lines(docs, Scratch(spark, "line-dedup"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents, one stays."""
+    """Of near-duplicate documents, that of the least doc_id stays, with all rows of that doc_id. Null doc_ids and texts, and texts without a word, stay."""
     return minhash.drop_near_duplicates(docs, Scratch(spark, "near-duplicates"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Identifiers are replaced by their kind; n_chars is that of documents."""
+    """Identifiers are replaced by their kind; n_chars is that of documents. Null and empty texts stay as they are; equal scores go to the least kind."""
     return pii.redact(docs, Scratch(spark, "pii"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows for training."""
+    """Windows for training, in the order of doc_id, nulls first; null, empty and blank texts are in no window."""
     return packing.pack_tokens(docs, Scratch(spark, "packing"))
 
 
@@ -51,7 +56,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-# SQL can express neither the trained classifier nor MinHash grouping: the tests hold run() against brute force
+# SQL can express neither the trained classifier nor MinHash grouping: the tests hold run() against plain Python, which takes only the classifier's decisions as they are
 ORACLE_SQL: str | None = None
 
 
