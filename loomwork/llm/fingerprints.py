@@ -12,8 +12,11 @@ of its hashes beyond the fraction only those that an item has are kept.
 
 Defined results for odd input: a null or wordless text has an empty sketch,
 and its containments are null; rows that repeat a doc_id are one document
-(the union of their sketches); a null doc_id is one document as well; an
-empty table gives an empty result; other columns are ignored.
+(the union of their sketches); a null doc_id is one document as well; rows
+that repeat an item_id are one item, of the union of their shingles; an item
+of fewer words than a shingle has one shingle, one without a word is in no
+document; a share of just `passage` counts as contained; very long texts are
+hashed whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -77,6 +77,24 @@ def test_short_items_are_matched_on_all_their_shingles(spark, monkeypatch):
     assert {r.doc_id: r["items"] for r in fp.fingerprints(df, items, Scratch(spark, "t")).collect()} == want
 
 
+def test_repeated_rows_and_items_of_twelve_words(spark):
+    """An item counts once however often its row is there: half of an item isn't the item; and all of 200 short items that are quoted whole are found."""
+    rng = random.Random(19)
+    passages = {i: text(rng, 12) for i in range(200)}
+    half = {i: text(rng, 40) for i in range(1000, 1020)}
+    rows = {i: text(rng, 100) + " " + t + " " + text(rng, 100) for i, t in passages.items()}
+    rows |= {i: text(rng, 100) + " " + " ".join(letter_words(t)[:22]) for i, t in half.items()}
+    items = spark.createDataFrame(list(passages.items()) + list(half.items()) * 3, "item_id bigint, text string")
+
+    def share(i: int, item: str) -> float:
+        x, y = shingles(item), shingles(rows[i])
+        return len(x & y) / len(x)
+
+    got = {r.doc_id: r["items"] for r in fp.fingerprints(docs(spark, list(rows.items())), items, Scratch(spark, "t")).collect()}
+    assert {i for i, found in got.items() if i in found} == set(passages)
+    assert all(got[i] == [] and 0.3 < share(i, half[i]) < 0.6 for i in half)
+
+
 def test_awkward_rows(spark):
     df = awkward(spark)
     items = spark.createDataFrame([(1, None), (None, "two words"), (3, "")], "item_id bigint, text string")

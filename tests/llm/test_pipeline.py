@@ -11,6 +11,8 @@ import pytest
 from loomwork.llm import queries
 
 from .common import SCHEMA, awkward, letter_words, nothing, text, words
+from .test_lines import brute_force
+from .test_minhash import jaccard
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -84,6 +86,19 @@ def test_run_is_the_stages_one_after_another(spark, small):
     assert sorted(map(repr, a)) == sorted(map(repr, docs.collect()))
 
 
+def test_run_against_plain_python(spark, small):
+    """All pairs of lines, all pairs of documents, a rule for addresses, and the words of all windows in order; of the classifier its decisions are taken."""
+    sf, _ = small
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in P.quality_classifier(spark, docs, sf).collect()]
+    left = {i: t for i, t in brute_force(rows).items() if t is not None}
+    gone = {b for a in left for b in left if a < b and jaccard(left[a], left[b]) >= 0.55}
+    want = [re.sub(r"[\w.]+@[\w.]+\w", "[EMAIL]", left[i]) for i in sorted(set(left) - gone)]
+    windows = P.run(spark, sf).orderBy("shard", "window").collect()
+    assert " ".join(r.text for r in windows).split() == " ".join(want).split()
+    assert all(r.n_tokens <= 1024 or r.truncated == r.n_tokens - 1024 for r in windows)
+
+
 def test_awkward_rows_go_through_every_stage(spark, small):
     sf, _ = small
     docs = awkward(spark)
