@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .minhash import Alike, linked, local_buckets, meeting
-from .store import Scratch, components, unused
+from .minhash import Alike, linked, meeting
+from .store import Scratch, unused
 
 # shingle, bands, values a band, least similarity: of long lines and of short ones
 LONG_LINES, SHORT_LINES = (8, 8, 5, 0.8), (4, 16, 5, 0.7)
@@ -99,7 +99,7 @@ def line_buckets(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(uid, buckets, common, own, doc_id, line, n): each batch's distinct lines, where the first is and how many there are; common: the buckets in which it meets other batches' lines, own: those of the batch."""
+    """(uid, buckets, doc_id, line, n): each batch's distinct lines, where the first is and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,27 +119,21 @@ def scan(docs: DataFrame) -> DataFrame:
                 n[order[first]] = np.diff(np.append(first, len(u)))
                 key, line = line_buckets(d, t.start[one], t.end[one])
                 mine = uid[one].view(np.int64)
-                common, row, own, also = local_buckets(key, mine[line])
-
-                def lists(who: np.ndarray, x: np.ndarray) -> pa.ListArray:
-                    by = np.argsort(who, kind="stable")
-                    return pa.ListArray.from_arrays(pa.array(np.searchsorted(who[by], np.arange(len(one) + 1)).astype(np.int32)), pa.array(x[by].view(np.int64)))  # noqa: B023
+                first_key = np.searchsorted(line, np.arange(len(one) + 1)).astype(np.int32)
 
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(mine),
-                        lists(line, key),
-                        lists(line[row], common),
-                        lists(line[also], own),
+                        pa.ListArray.from_arrays(pa.array(first_key), pa.array(key.view(np.int64))),
                         pa.array(ids[lo:hi][doc[one]]),
                         pa.array(number[one].astype(np.int32)),
                         pa.array(n[one]),
                     ],
-                    names=["uid", "buckets", "common", "own", "doc_id", "line", "n"],
+                    names=["uid", "buckets", "doc_id", "line", "n"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").mapInArrow(
-        run, "uid bigint, buckets array<bigint>, common array<bigint>, own array<bigint>, doc_id bigint, line int, n bigint"
+        run, "uid bigint, buckets array<bigint>, doc_id bigint, line int, n bigint"
     )
 
 
@@ -221,14 +215,13 @@ def keepers(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(uid, doc_id, line) of each line that isn't alone in its component, and the occurrence that stays."""
     lines = scratch.save(scan(docs))
     # lines that other batches have too go on once
-    each = scratch.save(lines.groupBy("uid").agg(F.min(F.struct("doc_id", "line", "buckets", "common")).alias("x"), F.sum("n").alias("n")).select("uid", F.struct("x.doc_id", "x.line").alias("at"), "n", "x.buckets", "x.common"))
-    # a line that several batches have goes on from one of them
-    member = lambda df, c: df.select(F.explode(c).alias("bucket"), F.col("uid").alias("id"))
-    rows = scratch.save(meeting(member(each, "common").unionByName(member(lines.where("size(own) > 0"), "own"))))
+    each = scratch.save(lines.groupBy("uid").agg(F.min(F.struct("doc_id", "line", "buckets")).alias("x"), F.sum("n").alias("n")).select("uid", F.struct("x.doc_id", "x.line").alias("at"), "n", "x.buckets"))
+    rows = scratch.save(meeting(each.select(F.explode("buckets").alias("bucket"), F.col("uid").alias("id"))))
     scratch.drop(lines)
     texts = scratch.save(_texts(docs, rows.select(F.col("id").alias("uid")).distinct()))
     good = linked(rows, each.select(F.col("uid").alias("id"), "buckets"), texts.select(F.col("uid").alias("id"), F.col("text").alias("what")), compare, scratch)
-    comp = scratch.save(components(good, scratch))
+    good = scratch.save(good.select(F.col("a").alias("id"), F.col("b").alias("root")))
+    comp = good.unionByName(good.select(F.col("root").alias("id"), "root").distinct())
     united = each.select("uid", "at").join(comp.withColumnRenamed("id", "uid"), "uid")
     least = united.groupBy("root").agg(F.min("at").alias("at"))
     several = united.select("uid", "root").join(least, "root").select("uid", "at.*")

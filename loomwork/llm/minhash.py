@@ -39,6 +39,7 @@ from . import kernels as K
 from .store import Scratch, components
 
 SHINGLE, BINS, BANDS, WIDTH, THRESHOLD, CENTRES, BLOCK = 3, 128, 32, 4, 0.55, 8, 2048
+PART, PAIRS = 1024, 1 << 16  # members of a side of a square, pairs compared at once
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bins: int = BINS) -> DataFrame:
@@ -87,19 +88,6 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def local_buckets(buckets: np.ndarray, ids: np.ndarray, keep: int = CENTRES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, row, own bucket, row) of a batch's members: where more than `keep` share a bucket, all are in one of the batch's own, and `keep` of them go on to the common one."""
-    order = np.lexsort((K.mix(buckets.astype(K.U64) ^ K.mix(ids.astype(K.U64))), buckets))
-    b = buckets[order]
-    if not len(b):
-        return b, order, b, order
-    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-    size = np.diff(np.append(first, len(b)))
-    place, many = np.arange(len(b)) - np.repeat(first, size), np.repeat(size > keep, size)
-    names = K.mix(b ^ K.mix(np.repeat(ids[order[first]].astype(K.U64), size)))  # by the first of them
-    return b[place < keep], order[place < keep], names[many], order[many]
-
-
 def meeting(rows: DataFrame) -> DataFrame:
     """(bucket, id) of those that aren't alone in their bucket. Sorted runs are streamed: no bucket is ever held in memory."""
     w = Window.partitionBy("bucket").orderBy("id")
@@ -140,13 +128,15 @@ def link_block(bucket: np.ndarray, held: int, alike: Alike) -> tuple[np.ndarray,
 
 
 def link_buckets(rows: DataFrame, compare: Callable[[list[bytes]], Alike]) -> DataFrame:
-    """(bucket, id, centre) of (bucket, id, what): members with each centre that they are like; a null centre for those like none of CENTRES. compare makes of `what` of a block the comparison of its rows."""
+    """(bucket, id, centre) of (bucket, id, what): members with each centre that they are like; a null centre for those like none of CENTRES, and for centres that members of earlier blocks haven't met. compare makes of `what` of a block the comparison of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, ids, what, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def done(b: np.ndarray, i: np.ndarray, w: list[bytes], held: int) -> tuple[pa.RecordBatch, np.ndarray]:
             r, c, none, centres = link_block(b, held, compare(w))
+            if held:
+                none = np.concatenate([none, centres[(centres >= held) & (b[centres] == b[0])]])
             row = np.concatenate([r, none])
             to = np.concatenate([i[c], np.zeros(len(none), np.int64)])
             batch = [pa.array(b[row]), pa.array(i[row]), pa.array(to, mask=np.arange(len(row)) >= len(r))]
@@ -174,8 +164,72 @@ def link_buckets(rows: DataFrame, compare: Callable[[list[bytes]], Alike]) -> Da
     return drawn.mapInArrow(run, "bucket bigint, id bigint, centre bigint")
 
 
+def unmet(found: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, id, root, block, blocks) of those of link_buckets' result that share a bucket with one of another component. Who isn't there was a centre and has met all of its bucket."""
+    those = found.select("bucket", "id").distinct().join(comp, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    those = scratch.save(those)
+    several = those.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
+    part = lambda c: F.floor(c / PART).cast("int")
+    return scratch.save(those.join(several, "bucket").select("bucket", "id", "root", part(place).alias("block"), (part(F.col("n") - 1) + 1).alias("blocks")))
+
+
+def pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one group, about PAIRS at a time; groups are sorted."""
+    n = len(group)
+    end = np.searchsorted(group, group, "right")
+    count = end - np.arange(n) - 1
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1, [n]])
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        a = np.repeat(np.arange(lo, hi), count[lo:hi])
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count[lo:hi]) - count[lo:hi], count[lo:hi])
+
+
+def all_pairs(members: DataFrame, what: DataFrame, compare: Callable[[list[bytes]], Alike]) -> DataFrame:
+    """(a, b) of components that two members of a bucket, which are alike, are of. members: as unmet has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+        texts: list[bytes] = []
+
+        def done(cut: int) -> pa.RecordBatch:
+            bucket, i, j, root, block = (x[:cut] for x in kept)
+            alike = compare(texts[:cut])
+            group = np.cumsum(np.concatenate([[False], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            out = np.zeros((0, 2), np.int64)
+            for a, b in pairs_within(group):
+                # of two blocks, the pairs across; those of a block are made where it meets itself
+                ok = (root[a] != root[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
+                a, b = a[ok], b[ok]
+                ok = alike(a, b)
+                out = np.unique(np.concatenate([out, np.sort(np.stack([root[a[ok]], root[b[ok]]], axis=1), axis=1)]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK // 2):
+                part = batch.slice(lo, BLOCK // 2)
+                kept = [np.concatenate([x, part.column(k).to_numpy()]) for k, x in enumerate(kept)]
+                texts += part.column(5).to_pylist()
+                while len(texts) > BLOCK:
+                    # whole squares, of at most 2 * PART rows each
+                    last = np.all([x[:BLOCK] == x[BLOCK] for x in kept[:3]], axis=0)
+                    cut = BLOCK - int(last.sum())
+                    if not cut:
+                        break
+                    yield done(cut)
+                    kept, texts = [x[cut:] for x in kept], texts[cut:]
+        if texts:
+            yield done(len(texts))
+
+    squares = members.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
+        "bucket", F.least("block", "other").cast("bigint").alias("i"), F.greatest("block", "other").cast("bigint").alias("j"), "root", F.col("block").cast("bigint").alias("block"), "id"
+    )
+    drawn = squares.join(what, "id").select("bucket", "i", "j", "root", "block", "what").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return drawn.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def linked(rows: DataFrame, keys: DataFrame, what: DataFrame, compare: Callable[[list[bytes]], Alike], scratch: Scratch) -> DataFrame:
-    """Verified pairs (a, b) among rows (bucket, id) that meet. keys: (id, buckets), all buckets of each id, those of a band at one place; what: (id, what)."""
+    """(a, b): each a of rows (bucket, id) that is linked, by alike ones that meet, to a lesser one, and the least of those. keys: (id, buckets), all buckets of each id, those of a band at one place; what: (id, what)."""
     found = scratch.save(link_buckets(rows.join(what, "id"), compare))
     none = found.where("centre is null").select("bucket", "id")
     out = found.where("centre is not null")
@@ -184,7 +238,17 @@ def linked(rows: DataFrame, keys: DataFrame, what: DataFrame, compare: Callable[
         finer = none.join(keys, "id").select("bucket", "id", also.alias("also")).select(F.xxhash64("bucket", "also").alias("bucket"), "id")
         more = scratch.save(link_buckets(meeting(finer).join(what, "id"), compare))
         out = out.unionByName(more.where("centre is not null"))
-    return out.select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    comp = scratch.save(components(out.select(F.col("id").alias("a"), F.col("centre").alias("b")), scratch))
+    within = comp.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    members = unmet(found, comp, scratch)
+    if members.isEmpty():
+        return within
+    more = scratch.save(all_pairs(members, what, compare))
+    if more.isEmpty():
+        return within
+    joined = scratch.save(components(more, scratch)).where("id <> root")
+    moved = within.join(joined, F.col("b") == F.col("id"), "left").select("a", F.coalesce("root", "b").alias("b"))
+    return moved.unionByName(joined.select(F.col("id").alias("a"), F.col("root").alias("b")))
 
 
 def near_duplicates(
@@ -204,13 +268,11 @@ def near_duplicates(
     copies = scratch.save(sigs.groupBy("sig_hash").agg(F.min(F.struct("doc_id", "sig")).alias("s"), F.count("*").alias("n")).select("sig_hash", F.col("s.doc_id").alias("rep"), "s.sig", "n"))
     banded = lambda sig: K.band_keys(sig, bands, width)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids = np.repeat(batch.column(0).to_numpy(), bands)
-                common, row, own, also = local_buckets(banded(_unpacked(batch.column(1))).ravel(), ids)
-                bucket, row = np.concatenate([common, own]), np.concatenate([row, also])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(ids[row])], names=["bucket", "id"])
+                bucket, ids = banded(_unpacked(batch.column(1))).ravel(), np.repeat(batch.column(0).to_numpy(), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(ids)], names=["bucket", "id"])
 
     def all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,15 +282,15 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "buckets"])
 
     reps = copies.select("rep", "sig")
-    rows = scratch.save(meeting(reps.mapInArrow(local, "bucket bigint, id bigint")))
+    rows = scratch.save(meeting(reps.mapInArrow(members, "bucket bigint, id bigint")))
 
     def compare(sigs: list[bytes]) -> Alike:
         x = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), bins)
         return lambda a, b: (x[a] == x[b]).mean(axis=1) >= threshold if len(a) else np.zeros(0, bool)
 
     keyed = reps.mapInArrow(all_keys, "id bigint, buckets array<bigint>")
-    comp = components(linked(rows, keyed, reps.select(F.col("rep").alias("id"), F.col("sig").alias("what")), compare, scratch), scratch)
-    root = copies.where("n > 1").join(comp, F.col("rep") == F.col("id"), "full").select(F.coalesce("rep", "id").alias("rep"), F.coalesce("root", "rep").alias("rep_id"))
+    to = linked(rows, keyed, reps.select(F.col("rep").alias("id"), F.col("sig").alias("what")), compare, scratch)
+    root = copies.where("n > 1").join(to, F.col("rep") == F.col("a"), "full").select(F.coalesce("rep", "a").alias("rep"), F.coalesce("b", "rep").alias("rep_id"))
     # every document of a signature goes where the least of them goes
     of = sigs.select("doc_id", "sig_hash", F.col("sig").alias("sig_a")).join(copies.select("sig_hash", "rep"), "sig_hash").join(root, "rep").where("doc_id <> rep_id")
     r = reps.select(F.col("rep").alias("rep_id"), F.col("sig").alias("sig_b"))

@@ -78,16 +78,6 @@ def test_estimate_is_unbiased_for_sparse_sets():
     assert abs(np.mean(got) - 1 / 3) < 0.02
 
 
-def test_buckets_of_a_batch():
-    rng = np.random.default_rng(5)
-    bucket, ids = rng.integers(0, 20, 400).astype(np.uint64), np.arange(400)
-    common, row, own, also = minhash.local_buckets(bucket, ids, keep=8)
-    assert (common == bucket[row]).all() and all((common == b).sum() == min(8, (bucket == b).sum()) for b in range(20))
-    big = [b for b in range(20) if (bucket == b).sum() > 8]
-    assert sorted(also) == sorted(np.flatnonzero(np.isin(bucket, big))) and len(set(own)) == len(big)
-    assert minhash.local_buckets(bucket[:0], ids[:0])[0].size == 0
-
-
 def linked_in(spark, rows, kinds):
     """Pairs that are found among rows (bucket, id), where those of one kind are alike."""
     df = spark.createDataFrame(rows, "bucket bigint, id bigint")
@@ -141,6 +131,53 @@ def test_every_centre_meets_every_member():
     assert set(zip(rows.tolist(), centres.tolist(), strict=True)) == {(1, 0), (2, 0), (3, 0), (1, 4), (3, 4), (5, 4)} and not len(none)
 
 
+def least_of_all_pairs(buckets, alike):
+    """By brute force: of each member that shares buckets with alike ones, the least that it is linked to."""
+    parent = {i: i for b in buckets.values() for i in b}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for b in buckets.values():
+        for x in b:
+            for y in b:
+                if x < y and alike(x, y):
+                    p, q = sorted((root(x), root(y)))
+                    parent[q] = p
+    return {i: root(i) for i in parent if root(i) != i}
+
+
+def test_no_pair_of_a_bucket_is_lost(spark, monkeypatch):
+    """More kinds than centres, of which every member shares one bucket alone; chains that touch no centre; buckets of several squares."""
+    monkeypatch.setattr(minhash, "PART", 16)
+    monkeypatch.setattr(minhash, "BLOCK", 32)
+    rng = random.Random(6)
+    places = {i: (rng.randrange(600), rng.randrange(600)) for i in range(900)}
+    buckets = {1: list(range(500)), 2: list(range(480, 700)), 3: [*range(700, 760)], **{10 + k: rng.sample(range(700, 900), 9) for k in range(30)}}
+    alike = lambda x, y: abs(places[x][0] - places[y][0]) + abs(places[x][1] - places[y][1]) <= 25
+    rows = [(b, i) for b, those in buckets.items() for i in those]
+    df = spark.createDataFrame(rows, "bucket bigint, id bigint")
+    what = spark.createDataFrame([(i, np.array(p, np.int64).tobytes()) for i, p in places.items()], "id bigint, what binary")
+    keys = df.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+
+    def compare(raw):
+        x = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+        return lambda a, b: np.abs(x[a] - x[b]).sum(axis=1) <= 25
+
+    got = [tuple(r) for r in minhash.linked(minhash.meeting(df), keys, what, compare, Scratch(spark, "t")).collect()]
+    want = least_of_all_pairs(buckets, alike)
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_all_pairs_of_groups(monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS", 5)
+    group = np.repeat(np.arange(6), [1, 4, 2, 1, 9, 1])
+    got = [p for a, b in minhash.pairs_within(group) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(got) == [(a, b) for a in range(18) for b in range(a + 1, 18) if group[a] == group[b]]
+
+
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     random.Random(2).shuffle(edges)
