@@ -175,6 +175,17 @@ class ShingleSets:
         key = np.sort(line.astype(K.U64) << K.U64(52) | h >> K.U64(12))
         self.keys = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
         self.first = np.searchsorted(self.keys, np.arange(len(texts) + 1, dtype=K.U64) << K.U64(52))
+        told = np.zeros((len(texts), 1024), bool)
+        told[(self.keys >> K.U64(52)).astype(np.int64), (self.keys & K.U64(1023)).astype(np.int64)] = True
+        self.marks = np.packbits(told, axis=1).view(np.uint64)
+
+    def at_least(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        """Whether pairs are of at least that exact similarity. Sets differ by no fewer shingles than their marks do by bits, so that most are told by these."""
+        size, out = np.diff(self.first), np.zeros(len(a), bool)
+        apart = np.bitwise_count(self.marks[a] ^ self.marks[b]).sum(axis=1, dtype=np.int64)
+        maybe = np.flatnonzero(apart * (1 + least) <= (1 - least) * (size[a] + size[b]) + 1e-6)
+        out[maybe] = self.jaccard(a[maybe], b[maybe]) >= least
+        return out
 
     def jaccard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Exact similarity of each pair of texts, by their numbers."""
@@ -205,7 +216,7 @@ def compare(texts: list[bytes]) -> Alike:
         out = np.zeros(len(a), bool)
         for s, number, mine, least in sets:
             pairs = np.flatnonzero(mine[a] & mine[b] & ~out)
-            out[pairs] = s.jaccard(number[a[pairs]], number[b[pairs]]) >= least
+            out[pairs] = s.at_least(number[a[pairs]], number[b[pairs]], least)
         return out
 
     return alike

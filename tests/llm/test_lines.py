@@ -155,6 +155,62 @@ def test_families_of_edited_lines(spark):
     assert exact <= got <= exact + 0.04 * (n - exact), (exact, got)
 
 
+def test_marks_tell_no_pair_wrongly():
+    rng = random.Random(16)
+    texts = []
+    for _ in range(40):
+        w = words(rng, rng.randrange(4, 60))
+        for _ in range(6):
+            w = [x if rng.random() < 0.96 else words(rng, 1)[0] for x in w]
+            texts.append(" ".join(w).encode())
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    for n, least in ((8, 0.8), (4, 0.7)):
+        s = lines.ShingleSets(texts, n)
+        exact = s.jaccard(a, b) >= least
+        assert (s.at_least(a, b, least) == exact).all() and len(texts) < exact.sum() < len(a) // 4
+
+
+def bucket_links(texts: list[str]) -> dict[str, str]:
+    """By brute force: of each line that is alike another one in one of its buckets, the least of those that it is linked to, by position."""
+    raw = [t.encode() for t in texts]
+    end = np.cumsum([len(x) for x in raw])
+    key, line = lines.line_buckets(np.frombuffer(b"".join(raw), np.uint8), end - np.array([len(x) for x in raw]), end)
+    buckets: dict[int, set[int]] = {}
+    for k, i in zip(key.tolist(), line.tolist(), strict=True):
+        buckets.setdefault(k, set()).add(i)
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for pair in {(x, y) for b in buckets.values() for x in b for y in b if x < y}:
+        if like(texts[pair[0]], texts[pair[1]]):
+            p, q = sorted(map(root, pair))
+            parent[q] = p
+    return {t: texts[root(i)] for i, t in enumerate(texts)}
+
+
+def test_no_pair_of_a_bucket_is_lost(spark):
+    """Lines of one long beginning, in which most bands meet, whose ends are of many kinds: as many stay as all pairs of the buckets give."""
+    rng = random.Random(17)
+    same = " ".join(words(rng, 30))
+    texts = []
+    for _ in range(60):
+        w = words(rng, 9)
+        for _ in range(6):
+            x = list(w)
+            for _ in range(rng.randrange(5)):
+                x[rng.randrange(9)] = words(rng, 1)[0]
+            texts.append(f"{same} {' '.join(x)}")
+    texts = list(dict.fromkeys(texts))
+    rng.shuffle(texts)
+    want = set(bucket_links(texts).values())
+    got = set(result(lines.drop_duplicate_lines(docs(spark, list(enumerate(texts))), Scratch(spark, "t"))).values())
+    assert got == want and 1 < len(want) < len(texts), (len(got), len(want), len(texts))
+
+
 def test_banding_recall(spark):
     """Pairs at and above the threshold are found by the bands."""
     rng = random.Random(13)
