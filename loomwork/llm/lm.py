@@ -26,11 +26,14 @@ to a room into one compressed row, with copies of a text within CHUNK_BYTES
 sent once and weighted; nine bytes a word and a half more for what goes with
 it, whatever the number of rooms (words are told apart within their restaurant
 by 23 bits of a hash, spellings have 16 significant bits); a room samples its restaurants, scores all that it
-got, and sends each chunk its sums. A word of more than ROOM_WORDS occurrences
-has several rooms, each for a part of the texts (by their hash), each with
-restaurants of its own; it is hot, so each part has plenty of customers. Which
-words are hot is counted over all texts, but for what a slice has less of than
-its share of half a room.
+got, and sends each chunk its sums. The occurrences of a word of more than
+ROOM_WORDS are in several rooms, each for a part of the texts (by their hash);
+its restaurant is one all the same: in a pass before, the customers of its
+dishes are counted over all texts, it is sampled by one task, which holds its
+dishes, and each of its rooms is told of the dishes that it has. So a score
+doesn't hang on which words are hot, but for the draws of the sampler. Which
+are is counted over all texts, but for what a slice has less of than its share
+of half a room.
 
 Defined results for odd input: a null text, or an empty one, has 0 bytes, a
 log_prob of 0 and a null perplexity; a blank text has no word and a log_prob
@@ -57,6 +60,7 @@ ROOM_BYTES, ROOM_WORDS, CHUNK_BYTES, CHUNK_ROWS, HELD, MAX_TASKS = 4 << 20, 400_
 FOLD, SIZE, CONTEXT = 24, 25, 28  # places, in a key, of the fold, of the number of bytes, and of whether it is a context
 BEGIN = K.U64(0x2545F4914F6CDD1D)  # stands before the first word
 _HOT = K.U64(1 << 63)
+HOT_BIT = K.U64(1 << 24)  # of a restaurant's name in a room: it is one of several rooms
 
 
 def seat(rng: np.random.Generator, c: np.ndarray, room: np.ndarray, base: np.ndarray, tables: np.ndarray, own: np.ndarray, discount: float, strength: float) -> np.ndarray:
@@ -324,7 +328,12 @@ def chunks(text: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def occurrences(text: pa.Array, t1: np.ndarray, speller: Speller, hot: K.Lookup, rooms: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(restaurant, word, logarithm of its spelling, document) of each word of the texts. A restaurant is 64 bits of a hash, of which a room goes by 24; a word is 23 bits of its hash, among the words of its restaurant, and, lowest, one that says which fold spells it."""
+    """What occurrences_and_hot gives, but for the last."""
+    return occurrences_and_hot(text, t1, speller, hot, rooms)[:4]
+
+
+def occurrences_and_hot(text: pa.Array, t1: np.ndarray, speller: Speller, hot: K.Lookup, rooms: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(restaurant, word, logarithm of its spelling, document, number of the hot word before it or -1) of each word of the texts. A restaurant is 64 bits of a hash, of which a room goes by 24; a word is 23 bits of its hash, among the words of its restaurant, and, lowest, one that says which fold spells it."""
     data, off = K.flat(text)
     parts: list[tuple[np.ndarray, ...]] = []
     for lo, hi, d, o in K.slices(data, off):
@@ -341,12 +350,132 @@ def occurrences(text: pa.Array, t1: np.ndarray, speller: Speller, hot: K.Lookup,
         split = np.flatnonzero(row >= 0)
         part = K.mix(t1[lo:hi][doc[split]]) % rooms[row[split]].astype(K.U64)
         before[split] = K.mix(before[split] + part * K.U64(0x9E3779B97F4A7C15))
-        parts.append((before, h >> K.U64(41) << K.U64(1) | fold, spelled, doc + lo))
+        parts.append((before, h >> K.U64(41) << K.U64(1) | fold, spelled, doc + lo, row.astype(np.int64)))
     if not parts:
-        return np.zeros(0, K.U64), np.zeros(0, K.U64), np.zeros(0), np.zeros(0, np.int64)
+        return np.zeros(0, K.U64), np.zeros(0, K.U64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def texts_once(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, how often each is there, t1, t2) of the distinct texts of (t1, t2, text)."""
+    t1, t2 = (part.column(j).to_numpy().view(np.uint64) for j in (0, 1))
+    order = np.lexsort((t2, t1))
+    first = np.flatnonzero(np.concatenate([[True], (t1[order][1:] != t1[order][:-1]) | (t2[order][1:] != t2[order][:-1])]))
+    once = order[first]
+    return once, np.diff(np.append(first, len(order))), t1[once], t2[once]
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), "text").where("text is not null")
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and, last, the number of rows."""
+    n = len(columns[0])
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns]) if n else np.zeros(0, bool)
+    return np.concatenate([np.zeros(min(n, 1), np.int64), np.flatnonzero(new) + 1, [n]])
+
+
+def merged_cells(hot: np.ndarray, v: np.ndarray, w: np.ndarray, spelled: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each distinct (hot, v, w) once, sorted, with the sum of n and the greatest of spelled (as floats of 24 bits)."""
+    order = np.lexsort((spelled, w, v, hot))
+    hot, v, w, spelled, n = (x[order] for x in (hot, v, w, spelled, n))
+    first = runs(hot, v, w)[:-1]
+    # logarithms are below 0: the least bits are the greatest
+    return hot[first], v[first], w[first], spelled[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def hot_parts(docs: DataFrame, speller: Speller, hot: K.Lookup, rooms: np.ndarray, n_rooms: int) -> DataFrame:
+    """(hot, room, cells): of each room that a hot word has, the dishes and their customers: packed names of the restaurant in the room (one), words, spellings, counts."""
+    shared = docs.sparkSession.sparkContext.broadcast((speller, hot, rooms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in chunks(batch.column(2)):
+                part = batch.slice(lo, hi - lo)
+                once, weight, t1, _ = texts_once(part)
+                before, word, spelled, doc, row = occurrences_and_hot(part.column(2).take(pa.array(once)), t1, *shared.value)
+                mine = np.flatnonzero(row >= 0)
+                room = ((before[mine] >> K.U64(16)) % K.U64(n_rooms)).astype(np.int64)
+                v = (before[mine] >> K.U64(40) | HOT_BIT).astype(np.int64)
+                # the room leads, above the number of the hot word
+                key, v, w, sp, n = merged_cells(room << 32 | row[mine], v, word[mine].astype(np.int64), to_24(spelled[mine]), weight[doc[mine]].astype(np.int64))
+                edges = runs(key >> 32)
+                out = [packed(*(x[a:b].astype(np.uint32) for x in (key & 0xFFFFFFFF, v, w, sp, n))) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(key[edges[:-1]] >> 32), pa.array(out, pa.binary())], names=["room", "cells"])
+
+    def of_room(room: int, raws: list[bytes]) -> pa.RecordBatch:
+        row, v, w, sp, n = merged_cells(*(np.concatenate(x).astype(np.int64) for x in zip(*map(unpacked, raws), strict=True)))
+        edges = runs(row, v)
+        out = [packed(v[a : a + 1].astype(np.uint32), w[a:b].astype(np.uint32), sp[a:b].astype(np.uint32), n[a:b].astype(np.uint32)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(row[edges[:-1]]), pa.array(np.full(len(out), room)), pa.array(out, pa.binary())], names=["hot", "room", "cells"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        current = None
+        for batch in batches:
+            for room, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and room != current:
+                    yield of_room(current, held)
+                    held = []
+                current = room
+                held.append(raw)
+        if held:
+            yield of_room(current, held)
+
+    sent = keyed_texts(docs).mapInArrow(run, "room bigint, cells binary")
+    return sent.repartition(room_tasks(docs, n_rooms), "room").sortWithinPartitions("room").mapInArrow(merge, "hot bigint, room bigint, cells binary")
+
+
+def hot_seats(parts: DataFrame, words: np.ndarray, seed: int = 7, sweeps: int = SWEEPS, burn_in: int = BURN_IN, d: float = DISCOUNT, s: float = STRENGTH) -> DataFrame:
+    """(room, known) of hot_parts: what each room is told: packed name of the restaurant, words, their customers, customers of the restaurant, and, of each sweep that counts, tables of the words, and of the restaurant. words: the hot ones, which seed the draws. A restaurant's dishes are held by its task, its parts come twice, to be counted and to be told."""
+
+    def sampled(w: np.ndarray, spelled: np.ndarray, c: np.ndarray, hot: int) -> list[np.ndarray]:
+        base, zero, t, out = np.exp(from_24(spelled.astype(np.uint32))), np.zeros(len(w), np.int64), np.minimum(c, 1), []
+        rng = np.random.default_rng([seed, int(words[hot])])
+        for sweep in range(sweeps):
+            t = seat(rng, c, zero, base, np.array([t.sum()]), t, d, s)
+            if sweep >= burn_in:
+                out.append(t)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = np.zeros(0, np.int64)
+        current, cells, more, seats = None, (z, z, z), [], []
+
+        def merge() -> tuple[np.ndarray, ...]:
+            w, sp, n = (np.concatenate(x) for x in zip(cells, *more, strict=True))
+            more.clear()
+            same = np.zeros(len(w), np.int64)
+            return merged_cells(same, same, w, sp, n)[2:]
+
+        for batch in batches:
+            for hot, again, room, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hot != current:
+                    current, cells, seats = hot, (z, z, z), []
+                v, w, sp, n = (x.astype(np.int64) for x in unpacked(raw))
+                if not again:
+                    more.append((w, sp, n))
+                    if sum(len(x[0]) for x in more) > max(HELD, len(cells[0])):
+                        cells = merge()
+                    continue
+                if not seats:
+                    # spelled as in a room of its own: by the first fold that it is in
+                    w_all, sp, n = merge()
+                    first = runs(w_all | 1)[:-1]
+                    cells = (w_all[first] | 1, sp[first], np.add.reduceat(n, first))
+                    seats = sampled(*cells, hot)
+                w = np.unique(w | 1)
+                at = np.searchsorted(cells[0], w)
+                told = [w.astype(np.uint32), cells[2][at].astype(np.uint64), np.array([cells[2].sum()], np.uint64)]
+                for t in seats:
+                    told += [t[at].astype(np.uint64), np.array([t.sum()], np.uint64)]
+                yield pa.RecordBatch.from_arrays([pa.array([room]), pa.array([packed(v.astype(np.uint32), *told)], pa.binary())], names=["room", "known"])
+
+    twice = parts.select("hot", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"), "room", "cells")
+    return twice.repartition("hot").sortWithinPartitions("hot", "again", "room").mapInArrow(run, "room bigint, known binary")
+
+
 def send(docs: DataFrame, speller: Speller, hot: K.Lookup, rooms: np.ndarray, n_rooms: int) -> DataFrame:
     """(room, chunk, sent, keys): the occurrences that a chunk of texts sends to a room; keys, in one row of each chunk, are the hashes of its texts."""
     shared = docs.sparkSession.sparkContext.broadcast((speller, hot, rooms))
@@ -355,35 +484,31 @@ def send(docs: DataFrame, speller: Speller, hot: K.Lookup, rooms: np.ndarray, n_
         for batch in batches:
             for lo, hi in chunks(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
-                t1, t2 = (part.column(j).to_numpy().view(np.uint64) for j in (0, 1))
-                order = np.lexsort((t2, t1))
-                new = np.concatenate([[True], (t1[order][1:] != t1[order][:-1]) | (t2[order][1:] != t2[order][:-1])])
-                first = np.flatnonzero(new)
-                once, weight = order[first], np.diff(np.append(first, len(order)))
-                keys = np.concatenate([t1[once], t2[once]])
+                once, weight, *keys = texts_once(part)
+                keys = np.concatenate(keys)
                 name = int(K.span_hash(K.prefix_hash(keys), np.array([0]), np.array([len(keys)])).view(np.int64)[0])
-                before, word, spelled, doc = occurrences(part.column(2).take(pa.array(once)), t1[once], *shared.value)
+                before, word, spelled, doc, row = occurrences_and_hot(part.column(2).take(pa.array(once)), keys[: len(once)], *shared.value)
                 room = (before >> K.U64(16)) % K.U64(n_rooms)
                 by = np.argsort(room.astype(np.uint16) if n_rooms < 1 << 16 else room, kind="stable")
-                before, word, spelled, doc, room = before[by], word[by], spelled[by], doc[by], room[by]
+                before, word, spelled, doc, room = before[by] >> K.U64(40) | np.where(row[by] >= 0, HOT_BIT, K.U64(0)), word[by], spelled[by], doc[by], room[by]
                 edges = np.flatnonzero(np.concatenate([[True], room[1:] != room[:-1]])) if len(room) else np.zeros(1, np.int64)
                 out: list[list] = [[], [], [], []]
                 for k, (a, b) in enumerate(zip(edges.tolist(), [*edges[1:].tolist(), len(room)])):
                     # documents ascend
                     mine = doc[a:b]
                     dd = mine[np.concatenate([[True], mine[1:] != mine[:-1]])] if b > a else mine
-                    v, w = ((x[a:b] >> K.U64(shift)).astype(np.uint32) for x, shift in ((before, 40), (word, 0)))
+                    v, w = (x[a:b].astype(np.uint32) for x in (before, word))
                     sent = packed(v, w, to_24(spelled[a:b]), steps(mine), weight[dd].astype(np.uint32))
                     for col, x in zip(out, (int(room[a]) if b > a else 0, name, sent, keys.tobytes() if not k else None), strict=True):
                         col.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["room", "chunk", "sent", "keys"])
 
-    return docs.select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), "text").where("text is not null").mapInArrow(run, "room bigint, chunk bigint, sent binary, keys binary")
+    return keyed_texts(docs).mapInArrow(run, "room bigint, chunk bigint, sent binary, keys binary")
 
 
-def score_room(before: np.ndarray, word: np.ndarray, spelled: np.ndarray, doc: np.ndarray, weight: np.ndarray, seed: int, sweeps: int = SWEEPS, burn_in: int = BURN_IN, d: float = DISCOUNT, s: float = STRENGTH) -> np.ndarray:
-    """For each document, the logarithm of the probability of its words here, predicted without what it sent itself; weight: how often the document is there."""
+def score_room(before: np.ndarray, word: np.ndarray, spelled: np.ndarray, doc: np.ndarray, weight: np.ndarray, seed: int, sweeps: int = SWEEPS, burn_in: int = BURN_IN, d: float = DISCOUNT, s: float = STRENGTH, known: list[list[np.ndarray]] | None = None) -> np.ndarray:
+    """For each document, the logarithm of the probability of its words here, predicted without what it sent itself; weight: how often the document is there; known: of restaurants of several rooms, what hot_seats tells."""
     order = np.lexsort((doc, word, before))
     before, word, spelled, doc = before[order], word[order] | K.U64(1), spelled[order].astype(np.float64), doc[order]
     turn = lambda *x: np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in x])])
@@ -397,8 +522,15 @@ def score_room(before: np.ndarray, word: np.ndarray, spelled: np.ndarray, doc: n
     n_cells, n_rooms = int(cell[-1]) + 1, int(room[-1]) + 1
     c = np.bincount(cell, own * weight[doc], n_cells).astype(np.int64)
     _, pair = np.unique(doc.astype(np.int64) * n_rooms + room, return_inverse=True)
+    customers, theirs = np.bincount(room_of_cell, c, n_rooms), []
+    for v, w, n, n_all, *seats in known or []:
+        r = int(np.searchsorted(before[new_room], K.U64(v[0])))
+        mine = np.flatnonzero(room_of_cell == r)
+        at = np.searchsorted(w, word[new_cell][mine])
+        c[mine], customers[r] = n[at], n_all[0]
+        theirs.append((r, mine, [x[at].astype(np.int64) for x in seats[::2]], [int(x[0]) for x in seats[1::2]]))
     left = c[cell] - own
-    present = np.bincount(room_of_cell, c, n_rooms)[room] - np.bincount(pair, own)[pair]
+    present = customers[room] - np.bincount(pair, own)[pair]
     t, rng = np.minimum(c, 1), np.random.default_rng(seed)
     old, new = np.zeros(len(group)), np.zeros(len(group))
     for sweep in range(sweeps):
@@ -406,9 +538,12 @@ def score_room(before: np.ndarray, word: np.ndarray, spelled: np.ndarray, doc: n
         t = seat(rng, c, room_of_cell, base, tables, t, d, s)
         if sweep < burn_in:
             continue
+        everyone = np.bincount(room_of_cell, t, n_rooms)
+        for r, mine, seats, n_all in theirs:
+            t[mine], everyone[r] = seats[sweep - burn_in], n_all[sweep - burn_in]
         # a dish's tables follow its customers to the power of the discount
         t_left = np.where(left > 0, np.clip(t[cell] * (left / c[cell]) ** d, 1, np.maximum(left, 1)), 0.0)
-        tables = np.bincount(room_of_cell, t, n_rooms)[room] - np.bincount(pair, t[cell] - t_left)[pair]
+        tables = everyone[room] - np.bincount(pair, t[cell] - t_left)[pair]
         old += (left - d * t_left) / (s + present)
         new += (s + d * tables) / (s + present)
     with np.errstate(divide="ignore"):
@@ -416,10 +551,16 @@ def score_room(before: np.ndarray, word: np.ndarray, spelled: np.ndarray, doc: n
     return np.bincount(doc, own * lp, len(weight))
 
 
+def room_tasks(df: DataFrame, n_rooms: int) -> int:
+    return min(MAX_TASKS, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rooms // 2))
+
+
 def in_rooms(sent: DataFrame, n_rooms: int, seed: int = 5) -> DataFrame:
-    """(chunk, got, keys): what each room says of the documents of a chunk."""
+    """(chunk, got, keys): what each room says of the documents of a chunk. A null chunk: what a room is told by hot_seats."""
 
-    def of_room(room: int, rows: list[tuple[int, bytes, bytes | None]]) -> pa.RecordBatch:
+    def of_room(room: int, rows: list[tuple[int | None, bytes, bytes | None]]) -> pa.RecordBatch:
+        known = [unpacked(r[1]) for r in rows if r[0] is None]
+        rows = [r for r in rows if r[0] is not None]
         columns: list[list[np.ndarray]] = [[], [], [], []]
         names, weights, at = [], [], 0
         for _, raw, _ in rows:
@@ -431,12 +572,12 @@ def in_rooms(sent: DataFrame, n_rooms: int, seed: int = 5) -> DataFrame:
             names.append(dd)
             weights.append(weight)
             at += len(dd)
-        lp = score_room(*(np.concatenate(c) for c in columns), np.concatenate(weights), seed + room) if at else np.zeros(0)
+        lp = score_room(*(np.concatenate(c) for c in columns), np.concatenate(weights), seed + room, known=known) if at else np.zeros(0)
         out, at = [], 0
         for dd in names:
             out.append(packed(steps(dd), to_24(lp[at : at + len(dd)])))
             at += len(dd)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(out, pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "got", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(out, pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "got", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes | None]] = []
@@ -451,8 +592,7 @@ def in_rooms(sent: DataFrame, n_rooms: int, seed: int = 5) -> DataFrame:
         if held:
             yield of_room(current, held)
 
-    tasks = min(MAX_TASKS, max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rooms // 2))
-    return sent.repartition(tasks, "room").sortWithinPartitions("room", "chunk").mapInArrow(run, "chunk bigint, got binary, keys binary")
+    return sent.repartition(room_tasks(sent, n_rooms), "room").sortWithinPartitions("room", "chunk").mapInArrow(run, "chunk bigint, got binary, keys binary")
 
 def by_text(got: DataFrame) -> DataFrame:
     """(t1, t2, log_prob) of each text."""
@@ -493,7 +633,12 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     many = counted.where((F.col("key") < 0) & (F.col("n") >= ROOM_WORDS // 2)).toArrow()  # fewer than there are rooms
     hot, rooms = many.column("key").to_numpy().view(np.uint64), -(-2 * many.column("n").to_numpy() // ROOM_WORDS)
     n_rooms = max(1, total // ROOM_BYTES)
-    sums = by_text(in_rooms(send(docs, speller, K.Lookup(hot), rooms, n_rooms), n_rooms))
+    sent = send(docs, speller, K.Lookup(hot), rooms, n_rooms)
+    if len(hot):
+        parts = scratch.save(hot_parts(docs, speller, K.Lookup(hot), rooms, n_rooms))
+        known = hot_seats(parts, hot).select("room", F.lit(None).cast("bigint").alias("chunk"), F.col("known").alias("sent"), F.lit(None).cast("binary").alias("keys"))
+        sent = sent.unionByName(known)
+    sums = by_text(in_rooms(sent, n_rooms))
     keyed = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),

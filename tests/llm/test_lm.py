@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import math
 import random
 from collections import Counter, defaultdict
@@ -214,6 +215,50 @@ def test_hot_words_have_several_rooms(spark, rows, monkeypatch):
     assert all(a[i].log_prob == pytest.approx(b[i].log_prob, rel=0.15) for i in a)
 
 
+def test_a_hot_word_has_one_restaurant(spark, monkeypatch):
+    """In many rooms or in one, predictions are those of all customers: they differ by no more than other draws make them."""
+    rng = random.Random(19)
+    vocabulary = words(rng, 40)
+    texts = [" ".join(rng.choice(vocabulary[: 3 + i % 37]) for _ in range(60)) for i in range(80)]
+    rows = [*enumerate(texts), (100, texts[5]), (101, texts[7]), (102, "")]
+    apart = lambda x, y: np.mean([abs(x[i].log_prob / y[i].log_prob - 1) for i in range(80)])
+    a = scores(spark, rows)
+    with monkeypatch.context() as m:
+        m.setattr(lm, "in_rooms", functools.partial(lm.in_rooms, seed=99))
+        noise = apart(a, scores(spark, rows))
+    monkeypatch.setattr(lm, "ROOM_WORDS", 40)
+    monkeypatch.setattr(lm, "ROOM_BYTES", 3000)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 2000)
+    df = docs(spark, rows).repartition(5)
+    b = {r.doc_id: r for r in lm.score(df, Scratch(spark, "t")).collect()}
+    assert a.keys() == b.keys() and b[5].log_prob == b[100].log_prob
+    assert apart(a, b) < 2 * noise < 0.05, (apart(a, b), noise)
+
+
+def test_rooms_are_told_of_all_customers(spark):
+    """What hot_seats tells, against counts over all texts."""
+    rng = random.Random(20)
+    vocabulary = words(rng, 30)
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(50)) for _ in range(60)] * 2
+    pairs = Counter(p for t in texts for p in zip(split(t), split(t)[1:]))
+    df = docs(spark, list(enumerate(texts))).repartition(4)
+    named = lambda w: int(lm.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1][0])
+    hot = vocabulary[:6]
+    keys = np.array([named(w) | 1 << 63 for w in hot], np.uint64)
+    parts = lm.hot_parts(df, speller_of(spark, df), K.Lookup(keys), np.full(len(hot), 5), 7)
+    word = {named(w) >> 41 << 1 | 1: w for w in vocabulary}
+    place = {(r.room, int(lm.unpacked(r.cells)[0][0])): hot[r.hot] for r in parts.collect()}
+    seen = Counter()
+    for r in lm.hot_seats(parts, keys).collect():
+        v, w, c, n_all, *seats = lm.unpacked(r.known)
+        before = place[r.room, int(v[0])]
+        seen[before] += 1
+        of_all = {y: n for (x, y), n in pairs.items() if x == before}
+        assert n_all[0] == sum(of_all.values()) and [of_all[word[int(x)]] for x in w] == c.tolist()
+        assert len(seats) == 2 * (lm.SWEEPS - lm.BURN_IN) and all(((t > 0) & (t <= c)).all() for t in seats[::2])
+    assert set(seen) == set(hot) and min(seen.values()) > 1
+
+
 def test_counts_are_those_of_the_whole_corpus(spark, rows):
     want: Counter = Counter()
     for _, t in rows:
