@@ -192,8 +192,8 @@ def bucket_links(texts: list[str]) -> dict[str, str]:
     return {t: texts[root(i)] for i, t in enumerate(texts)}
 
 
-def test_no_pair_of_a_bucket_is_lost(spark):
-    """Lines of one long beginning, in which most bands meet, whose ends are of many kinds: as many stay as all pairs of the buckets give."""
+def same_beginnings() -> list[str]:
+    """Lines of one long beginning, in which most bands meet, whose ends are of many kinds."""
     rng = random.Random(17)
     same = " ".join(words(rng, 30))
     texts = []
@@ -206,6 +206,12 @@ def test_no_pair_of_a_bucket_is_lost(spark):
             texts.append(f"{same} {' '.join(x)}")
     texts = list(dict.fromkeys(texts))
     rng.shuffle(texts)
+    return texts
+
+
+def test_no_pair_of_a_bucket_is_lost(spark):
+    """As many stay as all pairs of the buckets give."""
+    texts = same_beginnings()
     want = set(bucket_links(texts).values())
     got = set(result(lines.drop_duplicate_lines(docs(spark, list(enumerate(texts))), Scratch(spark, "t"))).values())
     assert got == want and 1 < len(want) < len(texts), (len(got), len(want), len(texts))

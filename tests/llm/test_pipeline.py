@@ -7,12 +7,14 @@ import re
 
 import corpus_pipeline as P
 import duckdb
+import numpy as np
 import pytest
-from loomwork.llm import queries
+from loomwork.llm import kernels as K
+from loomwork.llm import minhash, queries
 
-from .common import SCHEMA, awkward, letter_words, nothing, text, words
-from .test_lines import brute_force
-from .test_minhash import jaccard
+from .common import SCHEMA, awkward, docs, letter_words, nothing, text, words
+from .test_lines import brute_force, bucket_links, same_beginnings
+from .test_minhash import jaccard, least_of_all_pairs
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -137,3 +139,32 @@ def test_top_k_query_against_its_sql(spark):
 def test_fixtures_have_words():
     rng = random.Random(1)
     assert len(letter_words(text(rng, 77))) == 77 and len(words(rng, 5)) == 5
+
+
+def test_line_dedup_loses_no_pair_of_a_bucket(spark):
+    texts = same_beginnings()
+    got = {r.text for r in P.line_dedup(spark, docs(spark, list(enumerate(texts))), "").collect()}
+    assert got == set(bucket_links(texts).values())
+
+
+def test_near_duplicates_loses_no_pair_of_a_bucket(spark):
+    """Documents of one long beginning, in which many bands meet, and chains of ends."""
+    rng = random.Random(33)
+    same, rows = words(rng, 60), []
+    for _ in range(70):
+        w = words(rng, 60)
+        for _ in range(6):
+            for _ in range(rng.randrange(7)):
+                w[rng.randrange(60)] = words(rng, 1)[0]
+            rows.append(" ".join(same + w))
+    rng.shuffle(rows)
+    df = docs(spark, list(enumerate(dict.fromkeys(rows))))
+    sigs = {r.doc_id: np.frombuffer(r.sig, np.uint16) for r in minhash.signatures(df).collect()}
+    ids = sorted(sigs)
+    buckets: dict[int, list[int]] = {}
+    for i, keys in zip(ids, K.band_keys(np.stack([sigs[i] for i in ids]), minhash.BANDS, minhash.WIDTH).tolist(), strict=True):
+        for k in keys:
+            buckets.setdefault(k, []).append(i)
+    gone = least_of_all_pairs(buckets, lambda x, y: (sigs[x] == sigs[y]).mean() >= minhash.THRESHOLD)
+    kept = {r.doc_id for r in P.near_duplicates(spark, df, "").select("doc_id").collect()}
+    assert kept == set(ids) - set(gone) and 50 < len(kept) < len(ids), (len(kept), len(ids) - len(gone), len(ids))
