@@ -11,8 +11,11 @@ is like becomes a centre too, up to CENTRES. Every member is held against each
 centre (so that stars that touch grow together), which makes CENTRES * n
 comparisons for a bucket of n at most, whatever is in it. Members like none of
 CENTRES centres go to finer buckets, of this band and a further one, which are
-done in the same way. A bucket streams by, with its centres held; of a hot
-bucket each batch makes a bucket of its own, which sends CENTRES members on.
+done in the same way. A bucket streams by, with its centres held.
+
+These links only save comparisons and leave no pair out: once they are united,
+the pairs of a bucket that are still of different components are all compared,
+whatever their number, in squares of PART members a side (unmet, all_pairs).
 
 Exact copies are one node: union-find sees each signature once.
 
@@ -98,7 +101,7 @@ Alike = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def link_block(bucket: np.ndarray, held: int, alike: Alike) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, their centres, rows like no centre, centres) of buckets, which are sorted; the first `held` rows are centres of the first bucket already. All buckets take a centre together, CENTRES times."""
+    """(rows, their centres, rows like no centre, centres) of buckets, which are sorted; the first `held` rows are centres of the first bucket already. All buckets take a centre together, CENTRES times; pairs that this leaves apart are for all_pairs."""
     n = len(bucket)
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
