@@ -30,11 +30,14 @@ NONSPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = False
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), so that every bit depends on every bit."""
-    x = x ^ (x >> U64(33))
+    y = x >> U64(33)
+    x = np.bitwise_xor(x, y, out=y)
     x *= U64(0xFF51AFD7ED558CCD)
-    x ^= x >> U64(33)
+    y = x >> U64(33)
+    x ^= y
     x *= U64(0xC4CEB9FE1A85EC53)
-    x ^= x >> U64(33)
+    np.right_shift(x, U64(33), out=y)
+    x ^= y
     return x
 
 
@@ -62,6 +65,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64))
 
 
+def sum_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span_hash of ascending spans, from each byte's value, its number and one; what follows a span up to the next one must be of value 0."""
+    up, down = _powers(len(values) + 1)
+    return mix(np.add.reduceat(values * up[:-1], start) * down[start] + (end - start).astype(U64))
+
+
 def flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty."""
     if isinstance(arr, pa.ChunkedArray):
@@ -101,13 +110,13 @@ class Tokens:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def tokens(data: np.ndarray, off: np.ndarray, table: np.ndarray = LETTERS) -> Tokens:
-    """Maximal runs of bytes of the table, never across documents."""
+def tokens(data: np.ndarray, off: np.ndarray, table: np.ndarray = LETTERS, inside: np.ndarray | None = None) -> Tokens:
+    """Maximal runs of bytes of the table, or of those that are marked, never across documents."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return Tokens(z, z, np.zeros(len(off), np.int64))
-    inside = table[data]
+    inside = table.take(data) if inside is None else inside
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cuts = off[(off > 0) & (off < n)]
@@ -168,11 +177,19 @@ def densify(sig: np.ndarray) -> np.ndarray:
 def one_permutation(h: np.ndarray, doc: np.ndarray, rows: int, k: int) -> np.ndarray:
     """One-permutation MinHash: the high half of a hash picks one of k bins, the low half competes in it; then densify."""
     sig = np.full(rows * k, EMPTY, dtype=np.uint32)
-    bins = ((h >> U64(32)) * U64(k) >> U64(32)).astype(np.int64)
+    fill_bins(sig, h, doc * k, k)
+    return densify(sig.reshape(rows, k))
+
+
+def fill_bins(sig: np.ndarray, h: np.ndarray, first: np.ndarray, k: int) -> None:
+    """Lets hashes compete in the k bins of sig that begin at the place `first` of each."""
+    at = np.multiply(h >> U64(32), U64(k))
+    at >>= U64(32)
+    at = at.view(np.int64)
+    at += first
     val = h.astype(np.uint32)
     val[val == EMPTY] = EMPTY - np.uint32(1)
-    np.minimum.at(sig, doc * k + bins, val)
-    return densify(sig.reshape(rows, k))
+    np.minimum.at(sig, at, val)
 
 
 def band_keys(sig: np.ndarray, bands: int, width: int) -> np.ndarray:

@@ -44,38 +44,58 @@ from .store import Scratch, unused
 LONG_LINES, SHORT_LINES = (8, 8, 5, 0.8), (4, 16, 5, 0.7)
 LONG, SHORT = 64, 96
 MAX_BROADCAST_LINES = 4_000_000
+RUN = 1 << 15  # bytes of lines that are hashed at once
 NO_ID = -(1 << 63)
 
-_IN_LINE = np.ones(256, bool)
-_IN_LINE[10] = False
+_BLANK = bytes(np.flatnonzero(~K.NONSPACE).tolist())
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_FOLD_SUM = _FOLD.astype(K.U64) + K.U64(1)
+_FOLD_SUM[10] = 0  # line ends, which follow lines, count for nothing
 
 
 def split(data: np.ndarray, off: np.ndarray) -> tuple[K.Tokens, np.ndarray, np.ndarray]:
     """(all lines of at least a byte, which of them aren't blank, hash of each)."""
-    t = K.tokens(data, off, _IN_LINE)
+    t = K.tokens(data, off, inside=data != 10)
+    # most lines show by their first byte that they aren't blank
+    ink = K.NONSPACE[data[t.start]]
+    for i in np.flatnonzero(~ink).tolist():
+        ink[i] = bool(data[t.start[i] : t.end[i]].tobytes().strip(_BLANK))
     # between lines there are line ends only
-    ink = np.logical_or.reduceat(K.NONSPACE[data], t.start) if len(t.start) else np.zeros(0, bool)
-    return t, ink, K.span_hash(K.prefix_hash(_FOLD[data]), t.start, t.end)
+    uid = np.zeros(len(t.start), K.U64)
+    for lo, hi, a, b in runs(t.start, t.end):
+        start, end = t.start[lo:hi] - a, t.end[lo:hi] - a
+        uid[lo:hi] = K.sum_hash(_FOLD_SUM.take(data[a:b]), start, end)
+    return t, ink, uid
+
+
+def runs(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first line, end line, first byte, end byte) of runs of ascending lines of about RUN bytes, so that what is made of them stays in a cache; a longer line is a run of its own."""
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + RUN, "right")))
+        yield lo, hi, int(start[lo]), int(end[hi - 1])
+        lo = hi
 
 
 def byte_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(hash, line) of each run of n (4 or 8) case-folded bytes of each span, one for a shorter span."""
-    x = np.zeros(len(data) + 8, K.U64)
-    x[: len(data)] = _FOLD[data]
-    for step in (1, 2, 4)[: 3 if n == 8 else 2]:
-        x[:-step] |= x[step:] << K.U64(8 * step)
+    folded = np.zeros(len(data) + 8, np.uint8)
+    _FOLD.take(data, out=folded[: len(data)])
+    # the n bytes from each place on, as one little-endian number
+    x = np.ndarray((len(data) + 1,), "<u8" if n == 8 else "<u4", folded, 0, (1,))
     size = end - start
     count = np.maximum(size - n + 1, 1)
     line = np.repeat(np.arange(len(start)), count)
     if (size > 0).all():  # where shingles begin: spans ascend and don't overlap
-        step = np.zeros(len(x) + 1, np.int8)
-        step[start] = 1
-        np.subtract.at(step, start + count, 1)
-        g = x[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+        turns = np.zeros((len(start), 2), np.int64)
+        turns[:, 1] = count
+        turns[:, 0] = start
+        turns[1:, 0] -= start[:-1] + count[:-1]
+        begins = np.repeat(np.tile([False, True], len(start)), turns.ravel())
+        g = x[: len(begins)][begins].astype(K.U64)
     else:
-        g = x[np.arange(len(line)) - np.repeat(np.cumsum(count) - count - start, count)]
+        g = x[np.arange(len(line)) - np.repeat(np.cumsum(count) - count - start, count)].astype(K.U64)
     short = size < n
     if short.any():
         at = (np.cumsum(count) - count)[short]
@@ -85,14 +105,28 @@ def byte_shingles(data: np.ndarray, start: np.ndarray, end: np.ndarray, n: int =
 
 def line_buckets(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, line), in the order of lines, of all bands of each line."""
+    kinds = []
+    for n, bands, width, _ in (LONG_LINES, SHORT_LINES):
+        mine = np.flatnonzero(end - start >= LONG if n == LONG_LINES[0] else end - start < SHORT)
+        kinds.append((n, bands, width, mine, np.full(len(mine) * bands * width, K.EMPTY, np.uint32)))
+    for lo, hi, a, b in runs(start, end):
+        for n, bands, width, mine, sig in kinds:
+            i, j = np.searchsorted(mine, (lo, hi)).tolist()
+            if i == j:
+                continue
+            first, stop, data = start[mine[i:j]] - a, end[mine[i:j]] - a, d[a:b]
+            size = stop - first
+            stop_at = np.cumsum(size)
+            if 2 * stop_at[-1] < b - a:  # few of the bytes: they are put together
+                data = data[np.arange(stop_at[-1]) + np.repeat(stop - stop_at, size)]
+                first, stop = stop_at - size, stop_at
+            h, line = byte_shingles(data, first, stop, n)
+            K.fill_bins(sig, h, (line + i) * (bands * width), bands * width)
     keys, who = [], []
-    for (n, bands, width, _), mine in ((LONG_LINES, end - start >= LONG), (SHORT_LINES, end - start < SHORT)):
-        rows = np.flatnonzero(mine)
-        if not len(rows):
-            continue
-        h, line = byte_shingles(d, start[rows], end[rows], n)
-        keys.append((K.band_keys(K.one_permutation(h, line, len(rows), bands * width), bands, width) ^ K.U64(n)).ravel())
-        who.append(np.repeat(rows, bands))
+    for n, bands, width, mine, sig in kinds:
+        sig = K.densify(sig.reshape(len(mine), bands * width))
+        keys.append((K.band_keys(sig, bands, width) ^ K.U64(n)).ravel())
+        who.append(np.repeat(mine, bands))
     key, line = np.concatenate(keys), np.concatenate(who)
     order = np.argsort(line, kind="stable")
     return key[order], line[order]
@@ -171,9 +205,12 @@ class ShingleSets:
     def __init__(self, texts: list[bytes], n: int):
         size = np.array([len(x) for x in texts], np.int64)
         end = np.cumsum(size)
-        h, line = byte_shingles(np.frombuffer(b"".join(texts), np.uint8), end - size, end, n)
-        key = np.sort(line.astype(K.U64) << K.U64(52) | h >> K.U64(12))
-        self.keys = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        data, start, sets = np.frombuffer(b"".join(texts), np.uint8), end - size, [np.zeros(0, K.U64)]
+        for lo, hi, a, b in runs(start, end):
+            h, line = byte_shingles(data[a:b], start[lo:hi] - a, end[lo:hi] - a, n)
+            key = np.sort((line + lo).astype(K.U64) << K.U64(52) | h >> K.U64(12))
+            sets.append(key[np.concatenate([[True], key[1:] != key[:-1]])])
+        self.keys = np.concatenate(sets)
         self.first = np.searchsorted(self.keys, np.arange(len(texts) + 1, dtype=K.U64) << K.U64(52))
         told = np.zeros((len(texts), 1024), bool)
         told[(self.keys >> K.U64(52)).astype(np.int64), (self.keys & K.U64(1023)).astype(np.int64)] = True
@@ -242,23 +279,23 @@ def keepers(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _without(d: np.ndarray, o: np.ndarray, t: K.Tokens, drop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets without the dropped lines and their line ends."""
-    n = len(d)
-    start, end = t.start[drop], t.end[drop]
-    doc = t.doc[drop]
-    delta = np.zeros(n + 2, np.int32)
-    np.add.at(delta, start, 1)
-    np.add.at(delta, np.minimum(end + 1, o[1:][doc]), -1)
-    keep = np.cumsum(delta[:n]) == 0
+    doc, start = t.doc[drop], t.start[drop]
+    stop = np.minimum(t.end[drop] + 1, o[1:][doc])
+    turns = np.zeros((len(drop), 2), np.int64)
+    turns[:, 1] = stop - start
+    turns[:, 0] = start
+    turns[1:, 0] -= stop[:-1]
+    keep = np.ones(len(d), bool)
+    keep[: stop[-1]] = np.repeat(np.tile([True, False], len(drop)), turns.ravel())
+    new, size = d[keep], np.diff(o)
+    np.subtract.at(size, doc, stop - start)
     # a document that had no line end at its end gets none
-    size = np.concatenate([[0], np.cumsum(keep)])
     touched = np.unique(doc)
-    touched = touched[(size[o[1:]] - size[o[:-1]])[touched] > 0]
-    stop = o[1:][touched]
-    kept = np.flatnonzero(keep)
-    last = kept[np.searchsorted(kept, stop) - 1]
-    keep[last[(d[last] == 10) & (d[stop - 1] != 10)]] = False
-    size = np.concatenate([[0], np.cumsum(keep)])
-    return d[keep], size[o]
+    touched = touched[size[touched] > 0]
+    last = np.cumsum(size)[touched] - 1
+    more = (new[last] == 10) & (d[o[1:][touched] - 1] != 10)
+    size[touched[more]] -= 1
+    return np.delete(new, last[more]), np.concatenate([[0], np.cumsum(size)])
 
 
 def cut_lines(docs: DataFrame, keep: DataFrame) -> DataFrame:

@@ -231,9 +231,17 @@ def all_pairs(members: DataFrame, what: DataFrame, compare: Callable[[list[bytes
     return drawn.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def unlike_buckets(rows: DataFrame) -> DataFrame:
+    """rows (bucket, id), of buckets that have the same members, those of one alone: the others would give the same pairs. Members are told by their number, the least, the largest and 128 bits of all."""
+    each = rows.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
+    )
+    return rows.join(each.groupBy("n", "lo", "hi", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+
+
 def linked(rows: DataFrame, keys: DataFrame, what: DataFrame, compare: Callable[[list[bytes]], Alike], scratch: Scratch) -> DataFrame:
     """(a, b): each a of rows (bucket, id) that is linked, by alike ones that meet, to a lesser one, and the least of those. keys: (id, buckets), all buckets of each id, those of a band at one place; what: (id, what)."""
-    found = scratch.save(link_buckets(rows.join(what, "id"), compare))
+    found = scratch.save(link_buckets(unlike_buckets(rows).join(what, "id"), compare))
     none = found.where("centre is null").select("bucket", "id")
     out = found.where("centre is not null")
     if not none.isEmpty():

@@ -170,6 +170,31 @@ def test_marks_tell_no_pair_wrongly():
         assert (s.at_least(a, b, least) == exact).all() and len(texts) < exact.sum() < len(a) // 4
 
 
+def plain_hash(line: bytes) -> int:
+    """The hash of a line, byte by byte."""
+    line, acc = line.lower(), 0
+    for i, c in enumerate(line):
+        acc += (c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64)
+    return int(lines.K.mix(np.array([(acc + len(line)) % (1 << 64)], np.uint64))[0])
+
+
+def test_runs_of_lines_change_nothing(monkeypatch):
+    """Lines are hashed in runs of RUN bytes, of which a long line has more: names, blankness, buckets and sets don't hang on it."""
+    rng = random.Random(18)
+    texts = [b"\n".join([rng.choice([b"", b" \t", b"A", b" Bc"]), " ".join(words(rng, rng.randrange(1, 90))).encode()]) for _ in range(60)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    want = [x for t in texts for x in t.split(b"\n") if x]
+    seen = []
+    for run in (1, 50, 700, 1 << 15):
+        monkeypatch.setattr(lines, "RUN", run)
+        t, ink, uid = lines.split(data, off)
+        assert ink.tolist() == [bool(x.strip()) for x in want] and uid.tolist() == [plain_hash(x) for x in want]
+        key, line = lines.line_buckets(data, t.start, t.end)
+        seen.append((key.tolist(), line.tolist(), [lines.ShingleSets(want, n).keys.tolist() for n in (4, 8)]))
+    assert all(x == seen[0] for x in seen)
+
+
 def bucket_links(texts: list[str]) -> dict[str, str]:
     """By brute force: of each line that is alike another one in one of its buckets, the least of those that it is linked to, by position."""
     raw = [t.encode() for t in texts]

@@ -171,6 +171,16 @@ def test_no_pair_of_a_bucket_is_lost(spark, monkeypatch):
     assert len(got) == len(want) and dict(got) == want
 
 
+def test_buckets_of_the_same_members_are_linked_once(spark):
+    """Of like lines most bands meet: one of their buckets is compared, and any bucket that has a member more or less."""
+    buckets = {1: [1, 2, 3], 2: [1, 2, 3], 3: [1, 3], 4: [1, 2, 3, 4], 5: [1, 3], 6: [2, 5, 9], 7: [2, 6, 9], 8: [2, 5, 6, 9]}
+    df = spark.createDataFrame([(b, i) for b, those in buckets.items() for i in those], "bucket bigint, id bigint")
+    got = {}
+    for r in minhash.unlike_buckets(df).collect():
+        got.setdefault(r.bucket, []).append(r.id)
+    assert {b: sorted(i) for b, i in got.items()} == {b: those for b, those in buckets.items() if b not in (2, 5)}
+
+
 def test_all_pairs_of_groups(monkeypatch):
     monkeypatch.setattr(minhash, "PAIRS", 5)
     group = np.repeat(np.arange(6), [1, 4, 2, 1, 9, 1])
