@@ -117,8 +117,9 @@ def _no_pdf(raw: bytes) -> str:
 
 
 def _csv(spark: SparkSession, path: str, folder: bool) -> DataFrame:
-    """With a header row; quotes may hold line ends. Files of a folder may have different columns: those with one header are read together."""
-    how = {"header": True, "inferSchema": True, "multiLine": True, "escape": '"'}
+    """With a header row; quotes may hold line ends. Nothing is null, "" an empty text. Files of a folder may have different columns: those with one header are read together."""
+    # Spark takes what equals nullValue for null, which is "" if not told otherwise
+    how = {"header": True, "inferSchema": True, "multiLine": True, "escape": '"', "nullValue": "\x00null\x00"}
     if not folder:
         return spark.read.csv(path, **how)
     lines = _reader(spark, path, folder, ".csv").text(path)

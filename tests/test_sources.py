@@ -12,7 +12,7 @@ import yaml
 from loomwork.config import Config
 from loomwork.errors import ConfigError, MissingDependency, SourceError, StoreError
 from loomwork.operators import chunks as C
-from loomwork.sources import readers
+from loomwork.sources import readers, writers
 from loomwork.sources.store import MemoryStore, Store, differences
 
 from .test_text import docx
@@ -74,6 +74,13 @@ def test_html_and_docx(spark, tmp_path):
         readers.load(spark, str(d / "broken.docx")).collect()
 
 
+def test_empty_and_null_texts_come_back_from_csv(spark, tmp_path):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, '"'), (4, " a\n"), (None, "b")], "k int, text string")
+    writers.write_csv(df, str(tmp_path / "d"))
+    got = readers.load(spark, str(tmp_path / "d"), "text")
+    assert {(r.k, r.text) for r in got.collect()} == {tuple(r) for r in df.collect()}
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,text\n1,"a ""quoted""\n\nline"\n2,\n')
     df = readers.load(spark, str(tmp_path / "a.csv"), "text")
