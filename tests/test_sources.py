@@ -213,6 +213,16 @@ def test_batches_and_results(spark, store):
     assert store.batch_ids() == [] and store.state() == {"x": 1}
 
 
+def test_what_is_saved_at_once_is_one_folder(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "run"))
+    s.initialise({}, {})
+    s.save_batches(spark.range(5000).selectExpr("id as chunk_id", "id div 10 as batch_id"))
+    assert len(list((tmp_path / "run" / "batches").iterdir())) == 1 and len(s.batch_ids()) == 500
+    s.delete_batch(3)
+    s.save_batches(spark.createDataFrame([(7, 3), (8, 4)], "chunk_id bigint, batch_id bigint"))
+    assert s.batches().count() == 4982 and s.load_batch(3).count() == 1 and s.load_batch(4).count() == 1
+
+
 def test_initialising(spark, tmp_path):
     path = str(tmp_path / "run")
     Store(spark, path).initialise({"a": {"x": 1}}, {})
