@@ -24,7 +24,8 @@ from .sources.store import MemoryStore, Store
 from .spec import Spec
 
 
-WAVE = 1000
+WAVE, FOLDERS = 1000, 1000
+PART, OVER = "_part", "Over budget"
 
 
 class Pipeline:
@@ -85,7 +86,8 @@ class Pipeline:
 
         Batches are asked in waves of `wave`, each of which is saved before the
         next begins, so a run that breaks off loses a wave at most; equal
-        prompts are asked once a wave, and with a cache once. A budget is held
+        prompts are asked once a wave, and with a cache once; a resumed run
+        asks no prompt that it has saved an answer for. A budget is held
         against what was spent, on input, output and repeated attempts: no
         wave begins beyond it, waves begin with one batch and are then of as
         many as half of what is left pays for, and calls that their input
@@ -95,20 +97,39 @@ class Pipeline:
         chunks = self._preprocessed(load(self.spark, path, "chunk")) if path else self.store.load_chunks()
         calls = self.store.keep(self._calls(chunks))
         current, todo, done = calls.select("chunk_id", "key"), calls, None
-        if self.store.batch_ids():  # what has been answered is known by its content, not by its place
+        if self.store.has_batches():  # what has been answered is known by its content, not by its place
             done = self.store.keep(self.store.batches().join(current, ["chunk_id", "key"], "left_semi"))
             todo = self.store.keep(calls.join(done.select("chunk_id", "key"), ["chunk_id", "key"], "left_anti"))
-        at, end = todo.agg(F.min("batch_id"), F.max("batch_id")).first()
+            again = self._again(todo, done)
+            if not again.isEmpty():
+                done = self.store.keep(done.unionByName(again))
+                self.store.save_batches(done)
+                todo = self.store.keep(todo.join(again.select("chunk_id", "key"), ["chunk_id", "key"], "left_anti"))
+        first, end = todo.agg(F.min("batch_id"), F.max("batch_id")).first()
+        at = first
         if isinstance(self.answer, extraction.Rules) and model.max_budget is None:
             wave = 1 << 62  # nothing is paid for
+        run, span = todo, None
+        if at is not None and end - at >= wave:  # so that a wave reads what is its own, and not all there is
+            span = max(wave, (end - first) // FOLDERS + 1)
+            folder = F.floor((F.col("batch_id") - first) / span).cast("int")
+            run = self.store.keep(todo.withColumn(PART, folder), by=PART)
+            done = None if done is None else self.store.keep(done.withColumn(PART, folder), by=PART)
+
+        def of(rows: DataFrame, lo: int, hi: int) -> DataFrame:
+            found = rows.where(F.col("batch_id").between(lo, hi))
+            return found if span is None else found.where(F.col(PART).between((lo - first) // span, (hi - first) // span)).drop(PART)
+
         spent, tried, size = 0.0 if done is None else self._cost(done), 0, wave if model.max_budget is None else 1
         before = spent
         while at is not None and at <= end and (model.max_budget is None or spent <= model.max_budget):
-            part = todo.where(F.col("batch_id").between(at, min(end, at + size - 1)))
-            fresh = self._batch(self._answered(part.where("not over"))).unionByName(self._batch(self._refused(part)))
+            hi = min(end, at + size - 1)
+            part = of(run, at, hi)
+            fresh = self._batch(self._answered(part.where("not over")))
+            if model.max_budget is not None:
+                fresh = fresh.unionByName(self._batch(self._refused(part)))
             if done is not None:  # a batch is replaced as a whole, so its earlier rows come along
-                fresh = fresh.unionByName(done.join(part.select("batch_id").distinct(), "batch_id", "left_semi").select(fresh.columns))
-            fresh = self.store.keep(fresh)
+                fresh = fresh.unionByName(of(done, at, hi).join(part.select("batch_id").distinct(), "batch_id", "left_semi").select(fresh.columns))
             self.store.save_batches(fresh)
             at, tried = at + size, tried + size
             if model.max_budget is not None:
@@ -138,6 +159,17 @@ class Pipeline:
         priced = calls.drop("batch_id").withColumn(price, F.coalesce("call_tokens", F.lit(0)) * F.lit(self.prices[0] / 1e6))
         return costs.budget_gate(priced, price, model.max_budget, model.batch_size).drop(price)
 
+    @staticmethod
+    def _again(todo: DataFrame, done: DataFrame) -> DataFrame:
+        """Rows of batches for what is to do of which an equal call has been answered, or has failed, at no cost."""
+        same = ["key", "chunk"]
+        asked = done.where(F.col("errors").isNull() | (F.col("errors") != F.to_json(F.array(F.lit(OVER)))))
+        kept = [c for c in ("extracted", "extracted_json", "errors") if c in done.columns]
+        known = asked.groupBy(same).agg(F.first(F.struct(*kept)).alias("_known"))
+        rows = todo.join(known, same).select("chunk_id", "batch_id", *same, *[F.col("_known")[c].alias(c) for c in kept])
+        none = F.lit(0).cast("bigint")
+        return rows.withColumns({"tokens_in": none, "tokens_out": none}).select(done.columns)
+
     def _of(self, todo: DataFrame) -> DataFrame:
         """Rows of the store's batches that answer what was to do."""
         return self.store.batches().join(todo.select("chunk_id", "key"), ["chunk_id", "key"], "left_semi")
@@ -162,7 +194,7 @@ class Pipeline:
     @staticmethod
     def _refused(calls: DataFrame) -> DataFrame:
         none = F.lit(None).cast("string")
-        return calls.where("over").withColumn("answer", none).withColumn("error", F.lit("Over budget")).withColumn("attempts", F.lit(0)).withColumn("hit", F.lit(False))
+        return calls.where("over").withColumn("answer", none).withColumn("error", F.lit(OVER)).withColumn("attempts", F.lit(0)).withColumn("hit", F.lit(False))
 
     def _batch(self, answered: DataFrame) -> DataFrame:
         """Columns of a batch: the answer read and cleaned, as a struct and as JSON; errors as a JSON list."""

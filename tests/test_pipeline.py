@@ -128,6 +128,29 @@ def test_resume_answers_what_is_missing(spark, source, tmp_path):
         P.Pipeline(spark, CONFIG, answer, Store(spark, str(tmp_path / "run")), resume=True)
 
 
+def test_resume_asks_no_saved_prompt_again(spark, tmp_path):
+    """Batches of two, of which the first was saved; the other two have its prompts, and one of their own."""
+    texts = ["Ann likes fig", "Bob likes fig", "Bob likes fig", "Ann likes fig", "Ann likes fig", "Cy likes fig"]
+    df = spark.createDataFrame(list(enumerate(texts)), "record_id bigint, t string")
+    store = Store(spark, str(tmp_path / "run"))
+    run = P.Pipeline(spark, CONFIG, lambda p: {"name": p.split()[0], "fruit": []} if p[0] == "A" else 1 / 0, store)
+    run.prep_data(df)
+    saved, n = store.save_batches, []
+
+    def breaks(rows):
+        if n:
+            raise InterruptedError
+        n.append(saved(rows))
+
+    store.save_batches = breaks
+    with pytest.raises(InterruptedError):
+        run.process(wave=1)
+    out = P.Pipeline(spark, CONFIG, lambda p: {"name": "again", "fruit": []}, Store(spark, store.path), resume=True).process(wave=1)
+    got = [(r.batch_id, r.extracted and r.extracted.name, r.errors and "ZeroDivisionError" in r.errors) for r in out.orderBy("chunk_id").collect()]
+    a, b = ("Ann", None), (None, True)
+    assert got == [(0, *a), (0, *b), (1, *b), (1, *a), (2, *a), (2, "again", None)]
+
+
 def test_preprocessed_data_and_samples(spark, source, tmp_path):
     path = str(tmp_path / "chunks.parquet")
     spark.createDataFrame([(0, "Zoe likes fig")], "chunk_id bigint, chunk string").write.parquet(path)
