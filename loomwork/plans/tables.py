@@ -103,9 +103,11 @@ def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT n_name, count(*) AS richer FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > c_acctbal GROUP BY n_name
 """)
 def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a nation's customers and richer suppliers: an equality carries the inequality."""
-    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), "c_acctbal")
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), "s_acctbal")
-    pairs = customers.join(suppliers, "k").where("s_acctbal > c_acctbal").groupBy("k").agg(F.count("*").alias("richer"))
+    """Pairs of a nation's customers and richer suppliers, counted without being made: each balance has a row, and a running count of the suppliers above it."""
+    side = lambda name, p, c, s: table(spark, sf_dir, name).select(F.col(f"{p}_nationkey").alias("k"), F.col(f"{p}_acctbal").alias("balance"), F.lit(c).alias("c"), F.lit(s).alias("s"))
+    both = side("customer", "c", 1, 0).union(side("supplier", "s", 0, 1)).where("balance IS NOT NULL")
+    counts = both.groupBy("k", "balance").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    above = F.sum("s").over(Window.partitionBy("k").orderBy(F.desc("balance")).rowsBetween(Window.unboundedPreceding, -1))
+    pairs = counts.withColumn("above", above).groupBy("k").agg(F.sum(F.col("c") * F.col("above")).alias("richer")).where("richer > 0")
     nations = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("k"))
     return pairs.join(nations, "k").select("n_name", "richer")

@@ -317,6 +317,16 @@ def test_native_queries_have_no_python(spark, name):
     assert "Python" not in plan and "InArrow" not in plan and "Cartesian" not in plan
 
 
+def test_theta_join_makes_no_pairs(spark, tmp_path):
+    """Equal and null balances are no pairs, and customers aren't joined with suppliers."""
+    spark.createDataFrame([(1, 5.0), (1, 5.0), (1, None), (2, 1.0)], "c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, 5.0), (1, 6.0), (1, 7.0), (1, None), (2, 0.0)], "s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(1, "a"), (2, "b")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    out = plans.QUERIES["theta_join"](spark, str(tmp_path))
+    assert [tuple(r) for r in out.collect()] == [("a", 4)]
+    assert plan_of(out).split("Initial Plan")[0].count("Join") == 1
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
