@@ -199,9 +199,10 @@ class Pipeline:
     def _batch(self, answered: DataFrame) -> DataFrame:
         """Columns of a batch: the answer read and cleaned, as a struct and as JSON; errors as a JSON list."""
         text = F.col("chunk")
-        typed = A.read(F.col("answer"), self.spec)
-        error = F.coalesce("error", F.when(F.col("answer").isNotNull(), A.read_error(F.col("answer"), self.spec)))
-        rows = answered.withColumn("error", error).withColumn("extracted", A.clean(typed, self.spec, text))
+        (got,) = unused(answered.columns, "_read")
+        read = answered.withColumn(got, A.read_or_error(F.col("answer"), self.spec))
+        error = F.coalesce("error", F.when(F.col("answer").isNotNull(), F.col(got)["error"]))
+        rows = read.withColumn("error", error).withColumn("extracted", A.clean(F.col(got)["value"], self.spec, text)).drop(got)
         tracked = F.lit(self.config.llm_extraction.track_cost)
         tokens_in = F.when(tracked & ~F.col("hit"), F.col("call_tokens") * F.col("attempts")).otherwise(0)
         tokens_out = F.when(tracked & ~F.col("hit"), self.count(F.col("answer"))).otherwise(0)

@@ -72,7 +72,7 @@ def lax_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     made = F.concat(F.lit('{"n": "'), k, F.lit('", "b": '), k % 3, F.lit(', "i": '), k, F.when(k % 4 == 3, F.lit(".5")).otherwise(F.lit(".0")), F.lit("}"))
     rows = table(spark, sf_dir, "events").select("event_id", _k().alias("k")).select("event_id", made.alias("answer"))
-    return rows.select("event_id", A.read(F.col("answer"), LAX).alias("x"), A.read_error(F.col("answer"), LAX).alias("problem")).select("event_id", "x.n", "x.b", "x.i", "problem")
+    return rows.select("event_id", A.read_or_error(F.col("answer"), LAX).alias("r")).select("event_id", "r.value.n", "r.value.b", "r.value.i", F.col("r.error").alias("problem"))
 
 
 @query(f"""

@@ -235,3 +235,14 @@ def test_query_strings_mean_what_a_data_frame_means(spark, q):
 def test_bad_query_strings(spark, q):
     with pytest.raises(ConfigError):
         conditions.query(spark.createDataFrame([(1, "s")], "a int, s string"), q)
+
+
+def test_an_answer_is_parsed_once(spark):
+    """However many fields a spec has, and with its error."""
+    spec = S.SimpleSpec(tuple(S.Variable(f"v{i}", data_type=t) for i, t in enumerate(("number", "integer", "boolean", "[string]", "string"))))
+    df = spark.createDataFrame([('{"v0": "1.5", "v1": 2.0, "v2": 1, "v3": ["a"], "v4": "b"}',), ('{"v1": 2.5}',), ("{",), (None,)], "j string")
+    out = df.select(A.read_or_error(F.col("j"), spec).alias("r"), A.read(F.col("j"), spec).alias("v"), A.read_error(F.col("j"), spec).alias("e"))
+    assert all(r.r.value == r.v and r.r.error == r.e for r in out.collect())
+    assert [r.e for r in out.collect()] == [None, "doesn't fit the spec", "not JSON", "no answer"]
+    plan = df.select(A.read_or_error(F.col("j"), spec).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") <= 2
