@@ -148,3 +148,11 @@ def test_tokens(spark):
     t = Tokenizer.from_file(path)
     texts = ["Hello there, world", "", "naïve ünïcode"]
     assert column(spark, [*texts, None], tokens.exact_tokens(F.col("t"), path)) == [*[len(t.encode(x).ids) for x in texts], None]
+
+
+def test_texts_are_tokenized_in_runs():
+    from loomwork.functions.tokens import _runs
+
+    texts = ["a" * n for n in (3, 4, 20, 0, 5, 5, 1)]
+    runs = list(_runs(texts, 10))
+    assert sum(runs, []) == texts and [[len(t) for t in r] for r in runs] == [[3, 4], [20], [0, 5, 5], [1]] and list(_runs([])) == []
